@@ -26,17 +26,21 @@ _DATE_FORMATS = (
 )
 
 
+# Every white-space character of Unicode, as a pattern class.
+_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{_SPACE}+", " "))
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only the blank."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
 def compare_text(title: Column, description: Column, limit: int) -> Column:
