@@ -41,7 +41,7 @@ class Views:
         return self.table("documents").select(
             d.alias("article_id"), d.alias("seq"), F.expr("doc_id DIV 50").alias("batch_id"),
             F.col("source").alias("source_name"), "lang", F.substring("text", 1, 80).alias("title"),
-            F.when(d % 9 == 0, "").otherwise(F.substring("text", 81, 300)).alias("description"),
+            F.when(d % 9 == 0, "").otherwise(F.expr("substring(text, 81)")).alias("description"),
             F.concat(text_of("https://www.src", n % 20, ".example.com/a/", n), suffix).alias("url"),
             at(d * STEP + BASE).alias("published_at"),
             ((d * 37) % 100 / 10.0).cast("double").alias("score"), "text",
