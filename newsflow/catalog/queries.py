@@ -431,8 +431,8 @@ def _(v):
 
 @query("description_backfill", r"""
     SELECT a.article_id, CASE WHEN a.description <> '' THEN a.description ELSE coalesce(m.d, '') END AS description
-    FROM articles a LEFT JOIN (SELECT page_id, regexp_replace(replace(replace(replace(translate('About ' ||
-        regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '"''', ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g') AS d
+    FROM articles a LEFT JOIN (SELECT page_id, trim(regexp_replace(replace(replace(replace(translate('About ' ||
+        regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '"''', ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS d
       FROM pages WHERE page_id % 4 <> 1) m ON m.page_id = a.article_id""")
 def _(v):
     meta = pages.page_meta(v.pages, P.cjk_meta_max).select("page_id", "preview_description")
@@ -471,7 +471,7 @@ def _(v):
 # --- clustering ---------------------------------------------------------------------------------
 
 GREEDY_SQL = """
-    WITH RECURSIVE walk AS (
+    WITH RECURSIVE greedy AS (
       SELECT batch_id, min(seq) - 1 AS seq, [NULL::STRUCT(s BIGINT, c BIGINT, e DOUBLE[])][2:] AS kept,
         NULL::BIGINT AS cluster_seq, NULL::VARCHAR AS role FROM vectors GROUP BY 1
       UNION ALL
@@ -482,11 +482,11 @@ GREEDY_SQL = """
         SELECT *, greatest(coalesce(list_max(sims), 0.0), 0.0) AS best FROM (
           SELECT v.batch_id, v.seq, w.kept, v.embedding,
             list_transform(w.kept, lambda k: list_cosine_similarity(k.e, v.embedding)) AS sims
-          FROM walk w JOIN vectors v ON v.batch_id = w.batch_id AND v.seq = w.seq + 1))))
+          FROM greedy w JOIN vectors v ON v.batch_id = w.batch_id AND v.seq = w.seq + 1))))
     """
 
 
-@query("greedy_clusters", GREEDY_SQL + "SELECT batch_id, seq, cluster_seq, role FROM walk WHERE role IS NOT NULL")
+@query("greedy_clusters", GREEDY_SQL + "SELECT batch_id, seq, cluster_seq, role FROM greedy WHERE role IS NOT NULL")
 def _(v):
     return clustering.greedy_clusters(v.vectors, P.duplicate_floor, P.related_floor)
 
@@ -509,7 +509,7 @@ def _assigned(v: Views) -> DataFrame:
     SELECT w.batch_id, cluster_seq, array_to_string(list_sort(list(DISTINCT source_name)), ' ') AS sources, min(published_s) AS earliest_s,
       arg_min(source_name, published_s * 1000000 + w.seq) AS earliest_source,
       count(*) FILTER (role <> 'duplicate') AS members, count(*) FILTER (role = 'duplicate') AS duplicates
-    FROM walk w JOIN vectors v ON v.batch_id = w.batch_id AND v.seq = w.seq WHERE role IS NOT NULL GROUP BY 1, 2""")
+    FROM greedy w JOIN vectors v ON v.batch_id = w.batch_id AND v.seq = w.seq WHERE role IS NOT NULL GROUP BY 1, 2""")
 def _(v):
     rows = clustering.cluster_summary(_assigned(v))
     return rows.select(
@@ -520,7 +520,7 @@ def _(v):
 
 @query("cluster_representative", GREEDY_SQL + """
     SELECT batch_id, cluster_seq, seq, seq = min(seq) OVER (PARTITION BY batch_id, cluster_seq) AS is_representative
-    FROM walk WHERE role IN ('seed', 'member') AND seq * 37 % 100 >= 50""")
+    FROM greedy WHERE role IN ('seed', 'member') AND seq * 37 % 100 >= 50""")
 def _(v):
     passed = _assigned(v).filter((F.col("role") != "duplicate") & ((F.col("seq") * 37) % 100 / 10.0 >= P.score_floor))
     return clustering.cluster_representative(passed).select("batch_id", "cluster_seq", "seq", "is_representative")

@@ -249,7 +249,7 @@ class Views:
             F.when(p % 7 == 3, F.lit("<meta property=\"og:title\" content=\"习惯高油价\">"))
             .when(p % 2 == 0, F.concat(F.lit("<meta property=\"og:title\" content=\""), title, F.lit("\">")))
             .otherwise(F.concat(F.lit("<META content='"), title, F.lit("' NAME='Twitter:Title'/>"))),
-            F.when(p % 4 != 1, F.concat(F.lit("<meta name=\"og:description\"\n content=\"<b>"), other, F.lit("</b>\">"))).otherwise(""),
+            F.when(p % 4 != 1, F.concat(F.lit("<meta name=\"og:description\"\n content=\"&lt;b&gt;"), other, F.lit("&lt;/b&gt;\">"))).otherwise(""),
             F.when(p % 3 == 0, F.concat(F.lit("<meta property=\"og:image\" content=\"https://img.example.com/"), p.cast("string"), F.lit(".jpg\">"))).otherwise(""),
             F.when(p % 3 == 1, F.concat(
                 F.lit("<script id=\"__NEXT_DATA__\" type=\"application/json\">{\"props\":{\"pageProps\":{\"article\":{\"image\":\"https://next.example.com/"),

@@ -58,14 +58,16 @@ def published_utc(published: Column, updated: Column, as_of: Column) -> Column:
 
 
 def _timestamp(raw: Column) -> Column:
+    """Read a date in any of the known forms. Each step is bound once, so the expression stays small."""
+    offsets = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
     text = F.regexp_replace(strip(raw), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
-    zone = F.regexp_extract(text, r"\s([A-Z]{1,3})$", 1)
-    for name, offset in _ZONES.items():
-        text = F.when(
-            zone == name, F.regexp_replace(text, rf"\s{name}$", f" {offset}")
-        ).otherwise(text)
-    iso = F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in _DATE_FORMATS])
+    offset = lambda t: F.try_element_at(offsets, F.regexp_extract(t, r"\s([A-Z]{1,3})$", 1))
+    named = lambda t: F.coalesce(
+        F.concat(F.regexp_replace(t, r"\s[A-Z]{1,3}$", " "), offset(t)), t
+    )
+    iso = lambda t: F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), t))
+    read = lambda t: F.coalesce(iso(t), *[F.try_to_timestamp(t, F.lit(f)) for f in _DATE_FORMATS])
+    return F.transform(F.transform(F.array(text), named), read)[0]
 
 
 def age_hours(as_of: Column, at: Column) -> Column:

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 def trigrams(text: Column) -> Column:
     """All letter trigrams of the lower-cased text, other characters read as one blank."""
     folded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
-    return F.transform(
-        F.filter(F.sequence(F.lit(1), F.length(folded)), lambda i: i <= F.length(folded) - 2),
-        lambda i: F.substring(folded, i, F.lit(3)),
-    )
+    return F.regexp_extract_all(folded, F.lit("(?=(...))"), F.lit(1))
 
 
 def _counted(texts: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,10 +74,7 @@ def _without_phrase_table(rows: DataFrame, text: Column, table: DataFrame) -> Da
     size = table.agg(F.min(F.length("phrase"))).first()[0]
     heads = table.withColumn("head", F.substring("phrase", 1, size))
     marked = rows.withColumn("row_text", text).withColumn("row_key", F.sha2("row_text", 256))
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("row_text") - (size - 1), F.lit(1))),
-        lambda i: F.substring(F.col("row_text"), i, F.lit(size)),
-    ))
+    grams = F.array_distinct(F.regexp_extract_all("row_text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
     # Grams travel with the key of their text only; the text itself is read again to check a match.
     maybe = marked.select("row_key", F.explode(grams).alias("head")).join(heads, "head").select("row_key", "phrase")
     hit = (

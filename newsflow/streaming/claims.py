@@ -39,7 +39,7 @@ def stream_claims(rows: DataFrame, key: str, at: str, order: str, ttl_seconds: f
         yield pd.DataFrame(out, columns=["key", "n", "t"])
 
     small = rows.select(
-        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("n"), F.unix_micros(at).alias("t")
+        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("n"), F.unix_micros(F.col(at).cast("timestamp")).alias("t")
     )
     claimed = small.groupBy("key").applyInPandasWithState(
         claim, "key string, n bigint, t bigint", "claimed bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
