@@ -810,7 +810,7 @@ def _(v):
 
 @query("page_text")
 def _(v):
-    return pages.page_text(v.table("pages")).select("page_id", "page_text")
+    return pages.page_text(v.texts_of("pages")).select("page_id", "page_text")
 
 
 # --- selection ----------------------------------------------------------------------------------

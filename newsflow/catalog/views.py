@@ -33,12 +33,20 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts_of(self, name: str) -> DataFrame:
+        """A table of texts, spread over all cores when it has fewer splits than there are cores.
+
+        A file of one row group is one task, whatever its size; a table of many files stays as it is.
+        """
+        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     @cached_property
     def articles(self) -> DataFrame:
         d = F.col("doc_id")
         n = F.when((d % 40).isin(23, 27, 31, 35), d - 20).otherwise(d)
         suffix = F.when(d % 3 == 1, text_of("?u=", d)).when(d % 3 == 2, F.lit("#s")).otherwise("")
-        return self.table("documents").select(
+        return self.texts_of("documents").select(
             d.alias("article_id"), d.alias("seq"), F.expr("doc_id DIV 50").alias("batch_id"),
             F.col("source").alias("source_name"), "lang", F.substring("text", 1, 80).alias("title"),
             F.when(d % 9 == 0, "").otherwise(F.expr("substring(text, 81)")).alias("description"),
@@ -151,7 +159,7 @@ class Views:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.table("documents").select(F.col("doc_id").alias("article_id"), "text", "lang")
+        return self.texts_of("documents").select(F.col("doc_id").alias("article_id"), "text", "lang")
 
     @cached_property
     def verbs(self) -> DataFrame:
@@ -257,6 +265,6 @@ class Views:
             F.lit("<img src=\"data:image/png;base64,xx\"><img class=\"a\" src=\"https://cdn.example.com/Favicon.png\">"),
             F.concat(F.lit("<img src=\"https://cdn.example.com/p/"), p.cast("string"), F.lit(".png\">")),
         )
-        return self.table("pages").select(
+        return self.texts_of("pages").select(
             "page_id", "url", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), head)).alias("html")
         )
