@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsflow.session import cut
+
 
 def trigrams(text: Column) -> Column:
     """All letter trigrams of the lower-cased text, other characters read as one blank."""
@@ -20,7 +22,7 @@ def _counted(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def train_profiles(texts: DataFrame) -> DataFrame:
     """`lang, gram, log_p` with add-one smoothing; rows are bounded by the alphabet, not by the texts."""
-    counts = _counted(texts, ["lang"])
+    counts = cut(_counted(texts, ["lang"]))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = counts.select("gram").distinct()
     # One row per gram and language; the languages are few and come as one array value.

@@ -6,6 +6,7 @@ score gate, event state, candidate pool. Every read of state happens before any
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,11 +25,11 @@ from newsflow.sources.tables import Tables
 @dataclass
 class Inputs:
     """Outside answers of a cycle. `scores`: article_id, score_raw, score_retry_raw. `verdicts`:
-    cluster_id, event_id, same_raw, subtype_raw. `patterns`: gazetteer. `verbs`: lexicon. `meta`:
-    url, preview_description."""
+    cluster_id, event_id, same_raw, subtype_raw, or a function that gives them for candidate rows.
+    `patterns`: gazetteer. `verbs`: lexicon. `meta`: url, preview_description."""
 
     scores: DataFrame
-    verdicts: DataFrame
+    verdicts: DataFrame | Callable[[DataFrame], DataFrame]
     patterns: DataFrame
     verbs: DataFrame
     meta: DataFrame | None = None
@@ -86,7 +87,8 @@ def match_events(
         candidates, core, tables.read("hub_tokens", cycle), evidence.doc_freq(corpus, ["cycle"]),
         params.hub_events, params.pair_events_max, params.overlap_floor, keys=["cycle"],
     )
-    decided = cut(evidence.verdict_join(judged, inputs.verdicts, {
+    verdicts = inputs.verdicts(candidates) if callable(inputs.verdicts) else inputs.verdicts
+    decided = cut(evidence.verdict_join(judged, verdicts, {
         "CORE_UPDATE": params.core_update_weight,
         "CORROBORATION": params.corroboration_weight,
         "RESTATEMENT": params.restatement_weight,

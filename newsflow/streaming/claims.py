@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_claims(rows: DataFrame, key: str, at: str, order: str, ttl_seconds: float) -> DataFrame:
+def stream_claims(
+    rows: DataFrame, key: str, at: str, order: str, ttl_seconds: float, delay: str = "1 hour"
+) -> DataFrame:
     """First row per key and TTL: `key, order, at` of the rows that make a claim.
 
     State per key is one time. A key's rows are read batch by batch and reduced to one row per arrival
     time, so a key with very many rows needs no more memory than it has arrival times in a micro-batch.
-    State is dropped once its TTL has passed on the wall clock.
+    Arrival time is the clock: a claim's state is dropped once the watermark has passed its TTL.
     """
     width = int(ttl_seconds * 1_000_000)
 
@@ -33,16 +35,17 @@ def stream_claims(rows: DataFrame, key: str, at: str, order: str, ttl_seconds: f
             if held is None or t >= held + width:
                 held = t
                 out.append((group[0], first[t], t))
-        if out:
-            state.update((held,))
-        state.setTimeoutDuration(max(1, width // 1000))
+        state.update((held,))
+        state.setTimeoutTimestamp(max((held + width) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "n", "t"])
 
-    small = rows.select(
-        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("n"), F.unix_micros(F.col(at).cast("timestamp")).alias("t")
+    small = (
+        rows.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("n"),
+                    F.col(at).cast("timestamp").alias("at"))
+        .withWatermark("at", delay).withColumn("t", F.unix_micros("at"))
     )
     claimed = small.groupBy("key").applyInPandasWithState(
-        claim, "key string, n bigint, t bigint", "claimed bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        claim, "key string, n bigint, t bigint", "claimed bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
     return claimed.select(
         F.col("key").alias(key), F.col("n").alias(order), F.timestamp_micros("t").alias("claimed_at")
