@@ -42,6 +42,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a written table in the shared folder.
+
+    Unlike a row checkpoint the table keeps column pruning and a known size, so later joins can be
+    planned as broadcasts, and losing executors loses nothing.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
