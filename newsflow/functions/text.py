@@ -26,7 +26,11 @@ _DATE_FORMATS = (
 )
 
 
-# Every white-space character of Unicode, as a pattern class.
+# Every white-space character of Unicode, as a set to trim and as a pattern class.
+_SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
@@ -40,7 +44,7 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only the blank."""
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def compare_text(title: Column, description: Column, limit: int) -> Column:
@@ -99,11 +103,9 @@ def is_declined(generated: Column) -> Column:
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
-    lowered = F.lower(text)
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | F.contains(lowered, F.lit(phrase))
-    return found
+    listed = F.array(*[F.lit(p) for p in phrases]).cast("array<string>")
+    # The text is lower-cased once per row and the search ends at the first phrase found.
+    return F.exists(F.array(F.lower(text)), lambda t: F.exists(listed, lambda p: F.contains(t, p)))
 
 
 def usable_text(text: Column, fallback: Column, min_chars: int, phrases: tuple[str, ...]) -> Column:

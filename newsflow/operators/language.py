@@ -38,9 +38,16 @@ def train_profiles(texts: DataFrame) -> DataFrame:
 
 
 def detect_language(texts: DataFrame, profiles: DataFrame, id_col: str) -> DataFrame:
-    """Language with the highest log likelihood per text; texts without a known trigram give no row."""
-    grams = _counted(texts, [id_col])
-    scores = grams.join(profiles, "gram").groupBy(id_col, "lang").agg(
-        F.sum(F.col("n") * F.col("log_p")).alias("score")
-    )
-    return scores.groupBy(id_col).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("detected"))
+    """Language with the highest log likelihood per text; texts without a known trigram give no row.
+
+    The profile is turned to one row per gram with a column per language, so each gram of a text is
+    joined once and sums are merged inside a task before anything is shuffled.
+    """
+    profiles = cut(profiles)
+    languages = sorted(r.lang for r in profiles.select("lang").distinct().collect())
+    wide = profiles.groupBy("gram").pivot("lang", languages).agg(F.first("log_p"))
+    grams = texts.select(id_col, F.explode(trigrams(F.col("text"))).alias("gram")).join(wide, "gram")
+    scores = grams.groupBy(id_col).agg(*[F.sum(F.col(f"`{code}`")).alias(f"s{n}") for n, code in enumerate(languages)])
+    best = F.greatest(*[F.col(f"s{n}") for n in range(len(languages))]) if len(languages) > 1 else F.col("s0")
+    found = F.coalesce(*[F.when(F.col(f"s{n}") == best, F.lit(code)) for n, code in enumerate(languages)])
+    return scores.select(id_col, found.alias("detected"))
