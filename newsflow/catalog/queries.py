@@ -311,7 +311,7 @@ def _(v):
 def _(v):
     w = F.split("text", " ")
     phrases = v.table("benchmark").select(F.concat(w[2], F.lit(" "), w[3]).alias("phrase"))
-    return select.without_phrases(v.articles, ["title", "description", "text"], phrases).select("article_id")
+    return select.without_phrases(v.spread_articles, ["title", "description", "text"], phrases).select("article_id")
 
 
 @query("score_gate", "SELECT article_id, llm_score AS score FROM scores WHERE llm_score >= 5.0")

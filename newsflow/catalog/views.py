@@ -43,10 +43,18 @@ class Views:
 
     @cached_property
     def articles(self) -> DataFrame:
+        return self._articles(self.table("documents"))
+
+    @cached_property
+    def spread_articles(self) -> DataFrame:
+        """The same rows for queries that work through the text of every article."""
+        return self._articles(self.texts_of("documents"))
+
+    def _articles(self, documents: DataFrame) -> DataFrame:
         d = F.col("doc_id")
         n = F.when((d % 40).isin(23, 27, 31, 35), d - 20).otherwise(d)
         suffix = F.when(d % 3 == 1, text_of("?u=", d)).when(d % 3 == 2, F.lit("#s")).otherwise("")
-        return self.texts_of("documents").select(
+        return documents.select(
             d.alias("article_id"), d.alias("seq"), F.expr("doc_id DIV 50").alias("batch_id"),
             F.col("source").alias("source_name"), "lang", F.substring("text", 1, 80).alias("title"),
             F.when(d % 9 == 0, "").otherwise(F.expr("substring(text, 81)")).alias("description"),
@@ -62,11 +70,11 @@ class Views:
     @cached_property
     def headlines(self) -> DataFrame:
         mark = F.when(F.col("article_id") % 13 == 0, F.lit("习惯高油价吧 - ")).otherwise("")
-        return self.articles.select("article_id", "lang", F.concat(mark, "title", F.lit(" "), "description").alias("text"))
+        return self.spread_articles.select("article_id", "lang", F.concat(mark, "title", F.lit(" "), "description").alias("text"))
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self.articles.select(
+        return self.spread_articles.select(
             "article_id", "batch_id", word_tokens(F.concat_ws(" ", "title", "description")).alias("tokens")
         )
 
@@ -169,7 +177,7 @@ class Views:
     def article_entities(self) -> DataFrame:
         """Identity tokens of an article: the words of its title, stop words left out."""
         keep = F.filter(word_tokens(F.col("title")), lambda t: (F.length(t) > 1) & ~t.isin(*entities.STOPWORDS))
-        return self.articles.select(
+        return self.spread_articles.select(
             "article_id", "seq", "batch_id", "title", "description",
             text_of("ev", F.expr("article_id DIV 10")).alias("event_id"), keep.alias("entities"),
         )
@@ -238,7 +246,7 @@ class Views:
         zoned = F.when(updated != "", F.concat(updated, F.lit(" EST"))).otherwise("")
         link = F.when(d % 17 == 5, "").otherwise(F.col("url"))
         tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
-        return self.articles.select(
+        return self.spread_articles.select(
             "article_id", F.col("source_name").alias("source_id"),
             F.concat(
                 F.lit("<item>"), tag("title", esc(F.col("title"))), tag("link", link),

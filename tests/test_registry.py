@@ -1,0 +1,69 @@
+"""Every registered query against its SQL on the smallest tables; feeds and claims as streams."""
+
+import os
+import sys
+
+import duckdb
+import pytest
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+import __spark_entry__ as entry  # noqa: E402
+import check  # noqa: E402
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for table in check.TABLES:
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_same_as_sql(spark, con, name):
+    text, same = check.compare(spark, con, FOLDER, name)
+    assert same, text
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_feed_files_as_batch_and_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from newsflow.sources.feeds import feed_scan, read_feed_files
+
+    folder = tmp_path / "feeds" / "source_id=s1"
+    folder.mkdir(parents=True)
+    (folder / "a.xml").write_text(
+        "<rss><channel><item><title>A &amp; B</title><link>https://x/1?u=2</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item>"
+        "<item><title>no link</title></item></channel></rss>")
+    sources = spark.createDataFrame([("s1", "One")], "source_id string, name string")
+    now = F.timestamp_seconds(F.lit(9))
+    rows = feed_scan(read_feed_files(spark, str(tmp_path / "feeds")), sources, now).collect()
+    assert [(r.url, r.source_name, r.title, r.description) for r in rows] == [("https://x/1?u=2", "One", "A & B", "")]
+    stream = feed_scan(read_feed_files(spark, str(tmp_path / "feeds"), streaming=True), sources, now)
+    job = stream.writeStream.format("memory").queryName("feed_rows").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "state")).start()
+    job.awaitTermination()
+    assert [r.url for r in spark.table("feed_rows").collect()] == ["https://x/1?u=2"]
+
+
+def test_stream_claims_expire(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from newsflow.streaming.claims import stream_claims
+
+    schema, landed, out = "url_hash string, seq long, at timestamp", str(tmp_path / "in"), str(tmp_path / "out")
+    for t, rows in ((0, [("x", 2), ("x", 1)]), (9, [("x", 3), ("y", 4)]), (10, [("x", 5)]), (21, [("x", 6), ("y", 7)])):
+        df = spark.createDataFrame(rows, "url_hash string, seq long").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000 + t)))
+        df.write.mode("append").parquet(landed)
+        claims = stream_claims(spark.readStream.schema(schema).parquet(landed), "url_hash", "at", "seq", 10, "5 seconds")
+        claims.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "s")).trigger(
+            availableNow=True).start().awaitTermination()
+    want = {("x", 1), ("y", 4), ("x", 5), ("x", 6), ("y", 7)}
+    assert {(r.url_hash, r.seq) for r in spark.read.parquet(out).collect()} == want
