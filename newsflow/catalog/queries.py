@@ -452,7 +452,7 @@ def _judged(v: Views) -> DataFrame:
 
 
 @query("verdict_join", """
-    SELECT cluster_id, event_id, rule_verdict, accepted, CASE WHEN accepted THEN weight ELSE 1.0 END AS multiplier FROM judged""")
+    SELECT cluster_id, event_id, rule_verdict, accepted, CASE WHEN accepted THEN weight ELSE CAST(1.0 AS DOUBLE) END AS multiplier FROM judged""")
 def _(v):
     return _judged(v).select("cluster_id", "event_id", "rule_verdict", "accepted", "multiplier")
 
@@ -587,8 +587,8 @@ def _(v):
 
 
 @query("heat_new_event", """
-    SELECT batch_id, cluster_seq, 1.0 + coalesce(sum(CASE WHEN source_name = earliest THEN 0.0
-      WHEN source_name IN ('src0', 'src5', 'src10') THEN 2.0 ELSE 1.0 END), 0) AS heat_score
+    SELECT batch_id, cluster_seq, CAST(1.0 + coalesce(sum(CASE WHEN source_name = earliest THEN 0.0
+      WHEN source_name IN ('src0', 'src5', 'src10') THEN 2.0 ELSE 1.0 END), 0) AS DOUBLE) AS heat_score
     FROM (SELECT DISTINCT batch_id, cluster_seq, source_name, arg_min(source_name, published_s * 1000000 + seq) OVER (PARTITION BY batch_id, cluster_seq) AS earliest
       FROM cluster_in) GROUP BY 1, 2""")
 def _(v):
@@ -608,8 +608,8 @@ def _summary(v: Views) -> DataFrame:
 
 
 @query("heat_update", """
-    SELECT c.label AS cluster_seq, c.batch_id, round(2.5 + 1.5 * coalesce(sum(CASE WHEN o.source_name IS NOT NULL THEN 0.0
-      WHEN c.source_name IN ('src0', 'src5', 'src10') THEN 2.0 ELSE 1.0 END), 0), 6) AS heat_score
+    SELECT c.label AS cluster_seq, c.batch_id, CAST(2.5 + 1.5 * coalesce(sum(CASE WHEN o.source_name IS NOT NULL THEN 0.0
+      WHEN c.source_name IN ('src0', 'src5', 'src10') THEN 2.0 ELSE 1.0 END), 0) AS DOUBLE) AS heat_score
     FROM (SELECT DISTINCT batch_id, label, source_name FROM vectors) c
     LEFT JOIN (SELECT DISTINCT batch_id, label, source_name FROM vectors) o
       ON o.batch_id = c.batch_id AND o.label = (c.label + 1) % 10 AND o.source_name = c.source_name GROUP BY 1, 2""")
@@ -661,7 +661,7 @@ def _commit(v: Views, merged: bool) -> dict[str, DataFrame]:
 
 def _commit_sql(event: str, known: str) -> str:
     return f"""
-    SELECT d.event_id, round(coalesce(o.heat, 1.0) + d.gain, 6) AS heat_score, least(o.first_s, d.first_s) AS first_seen_s,
+    SELECT d.event_id, CAST(coalesce(o.heat, 1.0) + d.gain AS DOUBLE) AS heat_score, least(o.first_s, d.first_s) AS first_seen_s,
       d.rep AS representative_text, coalesce(o.title, d.seed) AS canonical_title, coalesce(o.title, 'meeting') AS event_type
     FROM (SELECT event_id, min(first_s) AS first_s, arg_max(rep, cluster_id) AS rep, arg_min(seed, cluster_id) AS seed,
         (SELECT coalesce(sum(CASE WHEN fresh.is_new AND fresh.source_name = fresh.earliest THEN 0.0 ELSE
@@ -718,7 +718,7 @@ def _(v):
 
 
 @query("funnel_report", """
-    SELECT batch_id, sum(n) AS n_raw, sum(n_fresh) AS n_fresh, count(*) FILTER (kept) AS n_new,
+    SELECT batch_id, CAST(sum(n) AS BIGINT) AS n_raw, CAST(sum(n_fresh) AS BIGINT) AS n_fresh, count(*) FILTER (kept) AS n_new,
       count(*) FILTER (kept AND english) AS n_english, count(*) FILTER (kept AND english AND score >= 5.0) AS n_passed
     FROM (SELECT *, n_fresh > 0 AND NOT claimed AS kept FROM (
       SELECT batch_id, url_hash, count(*) AS n, count(*) FILTER (fresh) AS n_fresh,

@@ -119,7 +119,7 @@ VIEWS = {
         SELECT 'ev' || (article_id // 10) AS event_id, arg_max(title || chr(10) || description, article_id) AS representative_text
         FROM articles GROUP BY 1""",
     "candidates": f"""
-        SELECT a.batch_id, a.article_id AS cluster_id, e.event_id, r.rank, 1.0 - r.rank * 0.125 AS cosine, a.description,
+        SELECT a.batch_id, a.article_id AS cluster_id, e.event_id, r.rank, CAST(1.0 - r.rank * 0.125 AS DOUBLE) AS cosine, a.description,
           {_TOKENS.format("a.title || chr(10) || a.description")} AS tokens_a,
           {_TOKENS.format("e.representative_text")} AS tokens_b
         FROM articles a, (SELECT unnest([1, 2]) AS rank) r, event_texts e WHERE e.event_id = 'ev' || (a.article_id // 10 - r.rank)""",
@@ -155,16 +155,16 @@ VIEWS = {
         JOIN hub a ON a.token = p.token_a JOIN hub b ON b.token = p.token_b AND b.event_id = a.event_id GROUP BY 1, 2""",
     "judged": """
         SELECT r.*, CASE rule_verdict WHEN 'NO_OVERLAP' THEN false WHEN 'AMBIGUOUS' THEN coalesce(l.quality = 1, false)
-          ELSE true END AS accepted, CASE l.toxic WHEN 1 THEN 1.5 WHEN 0 THEN 0.2 ELSE 1.0 END AS weight
+          ELSE true END AS accepted, CAST(CASE l.toxic WHEN 1 THEN 1.5 WHEN 0 THEN 0.2 ELSE 1.0 END AS DOUBLE) AS weight
         FROM rule r LEFT JOIN labels l ON l.doc_id = r.cluster_id AND r.event_id = 'ev' || (l.doc_id // 10 - 1)""",
     "walk": """
         SELECT cluster_id, arg_min(event_id, rank) FILTER (accepted) AS matched_event_id,
           arg_min(cosine, rank) FILTER (accepted) AS matched_cosine,
-          coalesce(arg_min(weight, rank) FILTER (accepted), 1.0) AS multiplier,
+          coalesce(arg_min(weight, rank) FILTER (accepted), CAST(1.0 AS DOUBLE)) AS multiplier,
           count(*) FILTER (NOT accepted AND rule_verdict = 'AMBIGUOUS') AS n_links
         FROM judged GROUP BY 1""",
     "cluster_in": """
-        SELECT batch_id, label AS cluster_seq, seq, source_name, published_s, embedding, url,
+        SELECT batch_id, CAST(label AS BIGINT) AS cluster_seq, seq, source_name, published_s, embedding, url,
           CASE WHEN seq % 3 = 2 THEN 'duplicate' ELSE 'member' END AS role FROM vectors""",
 }
 

@@ -204,19 +204,20 @@ class Views:
         """Each article against the two events before its own; articles without a description have no tokens."""
         from newsflow.operators.evidence import doc_count
 
-        new = F.when(F.col("description") == "", F.array().cast("array<string>")).otherwise(F.col("entities"))
-        # Tokens once per article and once per event, before each article meets two events.
+        # The text travels through the joins; its token array is several times larger.
         rows = self.article_entities.select(
-            F.col("article_id").alias("cluster_id"), "batch_id", new.alias("new_tokens"),
-            word_tokens(F.concat_ws("\n", "title", "description")).alias("tokens_a"),
+            F.col("article_id").alias("cluster_id"), "batch_id",
+            F.when(F.col("description") == "", F.array().cast("array<string>")).otherwise(F.col("entities")).alias("new_tokens"),
+            F.concat_ws("\n", "title", "description").alias("text"),
             F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"),
         ).withColumn("event_id", F.concat(F.lit("ev"), (F.expr("cluster_id DIV 10") - F.col("rank")).cast("string")))
-        known = self.event_texts.select("event_id", word_tokens(F.col("representative_text")).alias("tokens_b"))
         return (
-            rows.join(known, "event_id").join(doc_count(self.tokens), "batch_id")
+            rows.join(self.event_texts, "event_id").join(doc_count(self.tokens), "batch_id")
             .select(
                 "batch_id", "cluster_id", "event_id", "rank", (1.0 - F.col("rank") * 0.125).cast("double").alias("cosine"),
-                "new_tokens", "tokens_a", "tokens_b", F.lit(True).alias("has_texts"), "n_docs",
+                "new_tokens", word_tokens(F.col("text")).alias("tokens_a"),
+                word_tokens(F.col("representative_text")).alias("tokens_b"),
+                F.lit(True).alias("has_texts"), "n_docs",
             )
         )
 
