@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import labelled_field, says_same
+from newsflow.session import cut
 
 COMPATIBLE, AMBIGUOUS, NO_OVERLAP, FAIL_OPEN = "COMPATIBLE", "AMBIGUOUS", "NO_OVERLAP", "FAIL_OPEN"
 
@@ -109,7 +110,8 @@ def identity_verdict(
     """
     ident = ["cluster_id", "event_id"]
     tokens = candidates.select(*ident, F.explode("new_tokens").alias("token"))
-    shared = tokens.join(core, ["event_id", "token"]).join(hub_token_score(hub_tokens), "token", "left")
+    # Read four times below: written once, it is four columns wide and no longer than the tokens.
+    shared = cut(tokens.join(core, ["event_id", "token"]).join(hub_token_score(hub_tokens), "token", "left"))
     facts = shared.groupBy(*ident).agg(
         F.count("*").alias("n_shared"),
         F.bool_or(F.coalesce("score", F.lit(0)) < hub_events).alias("has_rare"),

@@ -146,3 +146,48 @@ def test_two_clusters_continue_one_event(spark):
     assert (row.first_seen_at, row.representative_text, row.canonical_title) == (T0 - timedelta(hours=3), "text2", "old")
     assert [(r.token, r.event_id) for r in changes["hub_tokens"].collect()] == [("w", "e")]
     assert changes["event_points"].count() == 2
+
+
+def test_preview_equals_commit_rule(spark):
+    matches = spark.createDataFrame(
+        [(1, "e", 1.5, ["a", "Reuters"], "a", T0), (2, None, 1.0, ["a", "Reuters"], "a", T0)],
+        "cluster_id long, matched_event_id string, multiplier double, sources array<string>, earliest_source string, earliest_at timestamp")
+    events = spark.createDataFrame([("e", 4.0, T0 - timedelta(hours=2))], "event_id string, heat_score double, first_seen_at timestamp")
+    known = spark.createDataFrame([("e", "a")], "event_id string, source_name string")
+    params = Params(major_outlets=MAJOR)
+    got = {r.cluster_id: (r.heat_score, r.first_seen_at) for r in ingest.heat_preview(matches, events, known, params).collect()}
+    assert got == {1: (7.0, T0 - timedelta(hours=2)), 2: (3.0, T0)}
+
+
+def test_published_flag_is_kept_apart(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    blank = {c: F.lit("") for c in "representative_text canonical_title canonical_summary event_type canonical_action actor target".split()}
+    for cycle, score in ((1, 1.0), (3, 2.0)):
+        tables.write("events", spark.createDataFrame([("e", score, T0, T0)], "event_id string, heat_score double, first_seen_at timestamp, "
+                     "last_updated_at timestamp").withColumns(blank), cycle)
+    tables.write("event_flags", state.mark_published(spark.createDataFrame([("e",)], "event_id string"), F.lit(T0)), 2)
+    row = lambda before: tables.events(before).select("heat_score", "published", "first_seen_at").first()
+    assert tuple(row(2)) == (1.0, False, T0)
+    assert tuple(row(3)) == (1.0, True, T0)
+    assert tuple(row(4)) == (2.0, True, T0)
+
+
+def test_block_size_does_not_change_nearest_points(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(n, [float(x) for x in rng.normal(size=8)], T0 - timedelta(hours=int(rng.integers(0, 100)))) for n in range(90)]
+    points = spark.createDataFrame(rows, "point_id long, embedding array<double>, at timestamp")
+    queries = spark.createDataFrame([(n, v, T0 - timedelta(hours=int(rng.integers(0, 60)))) for n, v, _ in rows[:40]],
+                                    "article_id long, embedding array<double>, as_of timestamp")
+    answers = []
+    for size in (2048, 7):
+        near = simjoin.nearest_points(queries, points, 4, 0.1, "at", "as_of", 24, block_rows=size)
+        answers.append({(r.query_id, r.point_id, r["rank"]) for r in near.collect()})
+    unit_of = {n: np.array(v) / np.linalg.norm(v) for n, v, _ in rows}
+    plain = set()
+    for q in queries.collect():
+        seen = sorted((-round(float(unit_of[q.article_id] @ unit_of[n]), 12), n) for n, _, at in rows
+                      if q.as_of - timedelta(hours=24) <= at < q.as_of)[:4]
+        plain |= {(q.article_id, n, k + 1) for k, (c, n) in enumerate(seen) if -c >= 0.1}
+    assert answers == [plain, plain]
