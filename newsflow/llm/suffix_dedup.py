@@ -7,13 +7,15 @@ the common extension of two suffixes by binary search over prefix polynomial has
 their parts fall into one run of the sorted orders. The extensions are then compared byte by byte; should hashes
 have collided, the chunk is sorted by its bytes.
 
-Texts that are equal as a whole are looked at once. Anchors with many occurrences are dealt by finer keys: the bytes
-common to eight neighbouring strings, and if need be to one.
+Texts that are equal as a whole are looked at once; they are stored bucketed, so that no later join moves them.
+Occurrences of a crowded anchor first meet as hashes of all their bytes, where copies fall together; what is left of
+a crowd is dealt by finer keys: the bytes common to eight neighbouring strings, and if need be to one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import BLOCK, U64, byte_rows, map_batches, mix, prefix_hashes, span_hashes, texts_of
-from newsflow.session import cut
+from newsflow.llm.common import BLOCK, U64, bitmap, byte_rows, in_bitmap, map_batches, mix, prefix_hashes, span_hashes, texts_of
+from newsflow.session import cut, fresh_path
 
 LENGTH = 200
 GRAM = 32
-#: Occurrences from which an anchor is dealt by finer keys.
+#: Occurrences above which an anchor is a crowd.
 CROWD = 512
 #: Neighbouring strings that share a key, by level of refinement.
 FINER = (8, 1)
@@ -72,8 +74,12 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 16, (packed >> 8) & 255, packed & 255
 
 
-def first_keys(texts: DataFrame) -> DataFrame:
-    """(digest, key, place) of each run of strings; place packs start, distance of the anchor and number of strings."""
+def first_keys(texts: DataFrame, held: np.ndarray | None = None) -> DataFrame:
+    """(digest, key, place) of each run of strings; place packs start, distance of the anchor and number of strings.
+
+    With a bitmap of keys only runs whose key may be among them.
+    """
+    shared = None if held is None else texts.sparkSession.sparkContext.broadcast(held)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -81,12 +87,16 @@ def first_keys(texts: DataFrame) -> DataFrame:
             for i, raw in enumerate(byte_rows(batch.column(1))):
                 if len(raw) >= LENGTH:
                     start, before, strings, grams = anchors_of(raw)
-                    rows.append(np.full(len(start), i))
+                    place = _pack(start, before, strings)
+                    if shared is not None:
+                        likely = in_bitmap(shared.value, grams)
+                        place, grams = place[likely], grams[likely]
+                    rows.append(np.full(len(place), i))
                     keys.append(grams.view(np.int64))
-                    places.append(_pack(start, before, strings))
+                    places.append(place)
             yield {"digest": batch.column(0).take(pa.array(np.concatenate(rows))), "key": np.concatenate(keys), "place": np.concatenate(places)}
 
-    return map_batches(texts, "digest binary, key long, place long", body)
+    return map_batches(texts.select("digest", "text"), "digest binary, key long, place long", body)
 
 
 def marked_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -128,47 +138,84 @@ def finer_keys(marked: DataFrame, size: int) -> DataFrame:
     return map_batches(marked, "digest binary, key long, place long", body)
 
 
-def repeated_marks(texts: DataFrame) -> DataFrame:
-    """(digest, key, place) of runs whose key occurs at least twice, with no key too common to sort in one task."""
+def context_ids(marked: DataFrame) -> DataFrame:
+    """(digest, key, place, context_id): a 128-bit hash of the bytes of each run, its key and its anchor's place."""
 
-    def split(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        times = keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
-        twice = keyed.join(times, "key")
-        return twice.filter(F.col("times") <= CROWD).drop("times"), twice.filter(F.col("times") > CROWD).drop("times")
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            rows, keys, places, ids = [], [], [], []
+            for i, view in enumerate(byte_rows(batch.column(1))):
+                raw = view.tobytes()
+                key, place = _marks(batch.column(3), i)
+                for k, p, a, b, n in zip(key.tolist(), place.tolist(), *(x.tolist() for x in _unpack(place)), strict=True):
+                    rows.append(i)
+                    keys.append(k)
+                    places.append(p)
+                    salt, person = (k & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), b.to_bytes(8, "little")
+                    ids.append(hashlib.blake2b(raw[a : a + n + LENGTH - 1], digest_size=16, salt=salt, person=person).digest())
+            yield {"digest": batch.column(0).take(pa.array(rows, pa.int64())), "key": keys, "place": places, "context_id": ids}
 
-    usual, crowded = split(first_keys(texts))
-    out = usual
-    for size in FINER:
-        usual, crowded = split(finer_keys(marked_texts(texts, crowded), size))
-        out = out.unionByName(usual)
-    # Runs of one string share a key only with equal strings, so copies fall together before they are sorted.
-    return out.unionByName(crowded)
+    return map_batches(marked, "digest binary, key long, place long, context_id binary", body)
 
 
 def contexts(marked: DataFrame) -> DataFrame:
-    """(digest, start, key, before, context_id, context): the bytes of each run of strings."""
+    """(key, digest, start, before, context): the bytes of each run of strings."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            rows: list[int] = []
-            out: dict[str, list] = {k: [] for k in ("start", "key", "before", "context_id", "context")}
+            rows, out = [], {k: [] for k in ("key", "start", "before", "context")}
             for i, view in enumerate(byte_rows(batch.column(1))):
                 raw = view.tobytes()
-                keys, place = _marks(batch.column(3), i)
+                key, place = _marks(batch.column(3), i)
                 start, before, strings = _unpack(place)
-                held = [raw[a : a + n + LENGTH - 1] for a, n in zip(start.tolist(), strings.tolist(), strict=True)]
+                out["key"] += key.tolist()
                 out["start"] += start.tolist()
-                out["key"] += keys.tolist()
                 out["before"] += before.tolist()
-                out["context"] += held
-                out["context_id"] += [
-                    hashlib.blake2b(c, digest_size=16, salt=(k & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), person=b.to_bytes(8, "little")).digest()
-                    for c, k, b in zip(held, keys.tolist(), before.tolist(), strict=True)
-                ]
-                rows += [i] * len(held)
+                out["context"] += [raw[a : a + n + LENGTH - 1] for a, n in zip(start.tolist(), strings.tolist(), strict=True)]
+                rows += [i] * len(place)
             yield out | {"digest": batch.column(0).take(pa.array(rows, pa.int64()))}
 
-    return map_batches(marked, "digest binary, start long, key long, before int, context_id binary, context binary", body)
+    return map_batches(marked, "key long, digest binary, start long, before int, context binary", body)
+
+
+PLACE = "digest", "key", "place"
+
+
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs to sort, no key being a crowd, and runs (digest, place) known to repeat as a whole."""
+
+    def twice(keyed: DataFrame) -> DataFrame:
+        return keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+
+    times = cut(twice(first_keys(texts)))
+    marks = cut(first_keys(texts, bitmap(times, F.col("key"))).join(times, "key"))
+    to_sort, whole = [], []
+    for size in (*FINER, None):
+        to_sort.append(marks.filter(F.col("times") <= CROWD).select(*PLACE))
+        crowd = marks.filter(F.col("times") > CROWD)
+        if crowd.isEmpty():
+            break
+        # Equal runs meet as hashes; one of each goes on, as it may hold strings that other runs hold.
+        ids = cut(context_ids(marked_texts(texts, crowd)))
+        equal = ids.groupBy("context_id").agg(F.count("*").alias("copies"), F.first("key").alias("key"), F.min(F.struct("digest", "place")).alias("one"))
+        equal = cut(equal)
+        # A merge join, as its hot keys can be split when it runs.
+        again = equal.filter("copies > 1").select("context_id").hint("merge")
+        whole.append(ids.join(again, "context_id").select("digest", "place"))
+        if size is None:
+            break
+        ones = equal.select("one.digest", "key", "one.place")
+        different = cut(ones.join(twice(ones), "key"))
+        to_sort.append(different.filter(F.col("times") <= CROWD).select(*PLACE))
+        finer = cut(finer_keys(marked_texts(texts, different.filter(F.col("times") > CROWD)), size))
+        marks = cut(finer.join(twice(finer), "key"))
+    first = to_sort[0]
+    for more in to_sort[1:]:
+        first = first.unionByName(more)
+    known = whole[0] if whole else marks.select("digest", "place").limit(0)
+    for more in whole[1:]:
+        known = known.unionByName(more)
+    return first, known
 
 
 class Suffixes:
@@ -255,7 +302,7 @@ class Suffixes:
         return order, shared
 
 
-def repeated_strings(group: np.ndarray, before: np.ndarray, held: list[bytes], copies: np.ndarray) -> list[list[int]]:
+def repeated_strings(group: np.ndarray, before: np.ndarray, held: list[bytes]) -> list[list[int]]:
     """For each context, groups being contiguous: first and end of each run of string starts that occur twice."""
     size = np.array([len(c) for c in held])
     strings = size - LENGTH + 1
@@ -276,7 +323,6 @@ def repeated_strings(group: np.ndarray, before: np.ndarray, held: list[bytes], c
         twice = np.zeros(len(with_it), np.bool_)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        twice |= copies[with_it] > 1
         found[0].append(with_it[twice])
         found[1].append(before[with_it[twice]] - distance)
     rows, starts = (np.concatenate(f) for f in found)
@@ -292,20 +338,21 @@ def repeated_strings(group: np.ndarray, before: np.ndarray, held: list[bytes], c
     return out
 
 
-def repeated_contexts(distinct: DataFrame) -> DataFrame:
-    """(context_id, runs) of contexts that hold a string occurring twice, from (key, before, context_id, context, copies)."""
+def sorted_spans(around: DataFrame) -> DataFrame:
+    """(digest, first, end) of bytes covered by strings that occur twice, from contexts dealt by their key."""
+
+    def solve(part: pa.Table) -> dict:
+        key, before = part.column("key").to_numpy(), part.column("before").to_numpy().astype(np.int64)
+        start = part.column("start").to_numpy()
+        found = repeated_strings(key, before, part.column("context").to_pylist())
+        rows = np.repeat(np.arange(len(found)), [len(f) // 2 for f in found])
+        runs = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
+        digests = part.column("digest").combine_chunks()
+        return {"digest": digests.take(pa.array(rows)), "first": start[rows] + runs[:, 0], "end": start[rows] + runs[:, 1] + LENGTH - 1}
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[pa.RecordBatch] = []
         rows = 0
-
-        def solve(table: pa.Table) -> dict:
-            key, before = table.column("key").to_numpy(), table.column("before").to_numpy().astype(np.int64)
-            found = repeated_strings(key, before, table.column("context").to_pylist(), table.column("copies").to_numpy())
-            at = [i for i, f in enumerate(found) if f]
-            ids = table.column("context_id").to_pylist()
-            return {"context_id": [ids[i] for i in at], "runs": [[{"first": f[k], "end": f[k + 1]} for k in range(0, len(f), 2)] for f in (found[i] for i in at)]}
-
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
@@ -323,9 +370,7 @@ def repeated_contexts(distinct: DataFrame) -> DataFrame:
             for at in _chunks(table.column("key").to_numpy()):
                 yield solve(table.slice(*at))
 
-    dealt = distinct.repartition("key").sortWithinPartitions("key")
-    dealt = dealt.select("key", "before", "context_id", "context", "copies")
-    return map_batches(dealt, "context_id binary, runs array<struct<first:long,end:long>>", body)
+    return map_batches(around.repartition("key").sortWithinPartitions("key"), "digest binary, first long, end long", body)
 
 
 def _chunks(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -369,22 +414,22 @@ def keep(raw: bytes, copies: int, spans: list[dict] | None) -> tuple[bytes, int,
 
 
 def unique_texts(docs: DataFrame) -> DataFrame:
-    """(digest, text, copies) of each distinct text; equal texts meet map side first."""
+    """(digest, text, copies) of each distinct text, as a table in buckets of digests. Equal texts meet map side first."""
+    spark = docs.sparkSession
     rows = texts_of(docs).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
-    return rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    rows = rows.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    name, buckets = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, "digest").option("path", fresh_path(spark, "texts")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(digest, spans) of bytes covered by a string of LENGTH bytes that also starts elsewhere in another distinct text or place."""
-    marked = marked_texts(texts, cut(repeated_marks(texts)))
-    around = contexts(marked)
-    distinct = around.groupBy("context_id").agg(
-        F.first("key").alias("key"), F.first("before").alias("before"), F.first("context").alias("context"), F.count("*").alias("copies")
-    )
-    runs = repeated_contexts(distinct)
-    found = around.select("digest", "start", "context_id").join(runs, "context_id")
-    spans = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["end"] + (LENGTH - 1)).alias("end")))
-    return found.select("digest", spans.alias("spans")).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    to_sort, whole = candidates(texts)
+    found = sorted_spans(contexts(marked_texts(texts, to_sort)))
+    start, strings = F.shiftright("place", 16), F.col("place").bitwiseAND(255)
+    known = whole.select("digest", start.alias("first"), (start + strings + (LENGTH - 1)).alias("end"))
+    return found.unionByName(known).groupBy("digest").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -395,8 +440,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     text of LENGTH bytes or more goes as a whole. Other columns are not read.
     """
     texts = unique_texts(docs)
-    solved = removed(texts.join(repeated_spans(texts), "digest", "left").select("digest", "text", "copies", "spans"))
+    solved = cut(removed(texts.join(repeated_spans(texts), "digest", "left").select("digest", "text", "copies", "spans")))
     rows = texts_of(docs).select(
         "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")
     )
-    return rows.join(cut(solved), "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.join(solved, "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
