@@ -29,7 +29,7 @@ class Rules:
     #: Added to each slot's count.
     smoothing: float = 1.0
     #: Mean log ratio in nats per n-gram below which a document goes.
-    floor: float = -0.35
+    floor: float = -0.1
 
 
 BLANKS = " \t\n\x0b\x0c\r"
