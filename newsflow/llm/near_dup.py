@@ -4,9 +4,10 @@ A document's shingle hashes are dealt over buckets; a bucket's register keeps th
 mantissa bits of its least hash. Registers in bands propose pairs, the estimate of Jaccard similarity corrected for
 chance collisions sorts them out, and full shingle sets confirm every link.
 
-Documents with equal shingle sets are one class. In each band bucket all classes are compared with one centre, which
-joins a group of copies in as many comparisons as it has members. Only classes that are still apart are then
-compared with each other, in blocks, and only if their registers allow a link.
+Documents with equal shingle sets are one class. In each band bucket all classes are compared with one centre, the
+class that shares most buckets, which joins a group of copies in as many comparisons as it has members. Classes of a
+centre that are then still apart are compared with each other in blocks: registers tell which of them may have a
+link at all, and a product of their set matrices finds the links; a task hands on no more links than join its labels.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ class NearDuplicates:
     band_registers: int = 4
     #: Standard errors by which an estimate may fall short of the similarity.
     slack: float = 5.0
-    #: Classes of one bucket that a task compares at a time.
-    block: int = 256
+    #: Classes of one centre on either side of a comparison, by registers and by sets.
+    block: int = 512
+    set_block: int = 256
 
     @property
     def registers(self) -> int:
@@ -83,29 +85,36 @@ def bands_of(registers: np.ndarray, options: NearDuplicates) -> np.ndarray:
     return key.view(np.int64)
 
 
-def chance_collision(a: np.ndarray, b: np.ndarray, options: NearDuplicates) -> np.ndarray:
-    """Chance that the registers of two unrelated sets of these sizes agree."""
-    total = np.zeros(np.broadcast(a, b).shape)
-    la, lb = a / options.registers, b / options.registers
-    for k in range(64 - options.bucket_bits):
-        lo, hi = 2.0 ** -(k + 1), 2.0**-k
-        total += (np.exp(-la * lo) - np.exp(-la * hi)) * (np.exp(-lb * lo) - np.exp(-lb * hi))
-    return total * 2.0**-options.mantissa_bits
+def chance_collisions(a: np.ndarray, b: np.ndarray, options: NearDuplicates) -> np.ndarray:
+    """Chance that the registers of unrelated sets of each two sizes agree."""
+    k = np.arange(64 - options.bucket_bits)[:, None]
 
+    def zeros(sizes: np.ndarray) -> np.ndarray:
+        load = sizes[None, :] / options.registers
+        return np.exp(-load * 2.0 ** -(k + 1)) - np.exp(-load * 2.0**-k)
 
-def estimates(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, options: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
-    """Corrected similarity of one register row with others, and the registers that tell."""
-    used = ((one != EMPTY) | (others != EMPTY)).sum(axis=1)
-    same = ((one == others) & (one != EMPTY)).sum(axis=1)
-    p = chance_collision(np.float64(size), sizes.astype(np.float64), options)
+    return zeros(a).T @ zeros(b) * 2.0**-options.mantissa_bits
+
+
+def estimates(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, options: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
+    """Corrected similarity of each two register rows, and the registers that tell."""
+    same, none = np.empty((len(a), len(b))), np.empty((len(a), len(b)))
+    empty_a, empty_b = (a == EMPTY), (b == EMPTY)
+    for i in range(len(a)):
+        both = empty_b & empty_a[i]
+        none[i] = both.sum(axis=1)
+        same[i] = (b == a[i]).sum(axis=1) - none[i]
+    used = options.registers - none
+    p = chance_collisions(sizes_a.astype(float), sizes_b.astype(float), options)
     return (same / np.maximum(used, 1) - p) / (1 - p), used
 
 
-def may_link(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, options: NearDuplicates) -> np.ndarray:
+def may_link(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, options: NearDuplicates) -> np.ndarray:
+    """False where sizes or estimates rule a link out."""
     floor = options.percent / 100
-    estimate, used = estimates(one, size, others, sizes, options)
-    fits = 100 * np.minimum(size, sizes) >= options.percent * np.maximum(size, sizes)
-    return fits & (estimate >= floor - options.slack * np.sqrt(floor * (1 - floor) / np.maximum(used, 1)))
+    estimate, used = estimates(a, sizes_a, b, sizes_b, options)
+    small, large = np.minimum(sizes_a[:, None], sizes_b), np.maximum(sizes_a[:, None], sizes_b)
+    return (100 * small >= options.percent * large) & (estimate >= floor - options.slack * np.sqrt(floor * (1 - floor) / np.maximum(used, 1)))
 
 
 def _key(hashes: np.ndarray) -> bytes:
@@ -207,52 +216,132 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(roots.select("key", F.col("key").alias("label")))
 
 
-def _across(members: DataFrame, options: NearDuplicates) -> DataFrame:
-    """Pairs of classes of one bucket that have different labels and whose registers allow a link."""
-    blocks = F.ceil(F.col("members") / options.block).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label",
-        (F.col("key") == F.col("center")).alias("is_center"), "n_shingles", "registers",
-    )
-    tile = ("band", "i", "j")
+def likely(stars: DataFrame, classes: DataFrame, options: NearDuplicates) -> DataFrame:
+    """The pairs whose sizes and registers allow a link."""
+    known = classes.select("key", "n_shingles", "registers")
+    both = stars.join(known.toDF("a", "size_a", "registers_a"), "a").join(known.toDF("b", "size_b", "registers_b"), "b")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        group: list[dict] = []
         for batch in batches:
+            rows = range(batch.num_rows)
+            a, b = (np.array([np.frombuffer(r, np.uint16) for r in batch.column(c).to_pylist()]).reshape(-1, options.registers) for c in (3, 5))
+            size_a, size_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            at = [i for i in rows if may_link(a[i : i + 1], size_a[i : i + 1], b[i : i + 1], size_b[i : i + 1], options)[0, 0]]
+            yield {"a": batch.column(0).take(pa.array(at, pa.int64())), "b": batch.column(1).take(pa.array(at, pa.int64()))}
+
+    return cut(map_batches(both.select("a", "b", "size_a", "registers_a", "size_b", "registers_b"), "a binary, b binary", body))
+
+
+TILE = ("center", "i", "j")
+
+
+def tiles(members: DataFrame, block: int) -> DataFrame:
+    """Deal the members (center, key, label, ...) of each centre over pairs of blocks.
+
+    Members of its most common label have no need to meet each other, so their blocks meet only those of the rest.
+    """
+    labels = members.groupBy("center", "label").agg(F.count("*").alias("n"))
+    main = labels.groupBy("center").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    main = main.filter(F.col("all") > F.col("top.n")).select("center", F.col("top.label").alias("main"), F.col("top.n").alias("mains"), (F.col("all") - F.col("top.n")).alias("others"))
+    rows = members.join(main, "center")
+    is_main = F.col("label") == F.col("main")
+    rows = rows.withColumn("m", F.ceil(F.col("mains") / block)).withColumn("o", F.ceil(F.col("others") / block))
+    spread = F.xxhash64("key")
+    rows = rows.withColumn("own", F.when(is_main, F.col("o") + F.pmod(spread, "m")).otherwise(F.pmod(spread, "o")).cast("int"))
+    last = F.when(is_main, F.col("o")).otherwise(F.col("o") + F.col("m")).cast("int") - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return rows.drop("main", "mains", "others", "m", "o", "other").repartition(*TILE).sortWithinPartitions(*TILE)
+
+
+def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    group: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if group and any(row[c] != group[0][c] for c in TILE):
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def _sides(group: list[dict]) -> tuple[list[dict], list[dict]]:
+    first = [r for r in group if r["own"] == group[0]["i"]]
+    return first, first if group[0]["i"] == group[0]["j"] else [r for r in group if r["own"] != group[0]["i"]]
+
+
+def _apart(a: list[dict], b: list[dict]) -> np.ndarray:
+    number = {x: i for i, x in enumerate({r["label"] for r in a + b})}
+    return np.array([number[r["label"]] for r in a])[:, None] != np.array([number[r["label"]] for r in b])
+
+
+def hopeful(members: DataFrame, options: NearDuplicates) -> DataFrame:
+    """Members (center, key) that may have a link to one of another label, by registers."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for group in by_tile(batches):
+            a, b = _sides(group)
+            if not a or not b:
+                continue
+            held = [np.array([np.frombuffer(r["registers"], np.uint16) for r in side]) for side in (a, b)]
+            sizes = [np.array([r["n_shingles"] for r in side]) for side in (a, b)]
+            found = may_link(held[0], sizes[0], held[1], sizes[1], options) & _apart(a, b)
+            keys = {a[i]["key"] for i in np.flatnonzero(found.any(axis=1))} | {b[i]["key"] for i in np.flatnonzero(found.any(axis=0))}
+            yield {"center": [group[0]["center"]] * len(keys), "key": sorted(keys)}
+
+    return cut(map_batches(tiles(members, options.block), "center binary, key binary", body).distinct())
+
+
+def common_sizes(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each two sets, as a product of their matrices taken over parts of the columns."""
+    values = np.concatenate([*a, *b])
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    rows, column = rows[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(column, (first, first + columns))
+        part = np.zeros((len(a) + len(b), columns), np.float32)
+        part[rows[lo:hi], column[lo:hi] - first] = 1
+        out += part[: len(a)] @ part[len(a) :].T
+    return out.astype(np.int64)
+
+
+def joining_links(members: DataFrame, options: NearDuplicates) -> DataFrame:
+    """Confirmed links (a, b) between members of one centre, as many as join the labels of a tile."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for group in by_tile(batches):
+            a, b = _sides(group)
+            if not a or not b:
+                continue
+            sets = [[np.frombuffer(r["hashes"], U64) for r in side] for side in (a, b)]
+            sizes = [np.array([len(x) for x in side]) for side in sets]
+            common = common_sizes(*sets)
+            linked = 100 * common >= options.percent * (sizes[0][:, None] + sizes[1] - common)
+            root: dict[bytes, bytes] = {}
+
+            def find(x: bytes, root: dict = root) -> bytes:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
             out: dict[str, list] = {"a": [], "b": []}
-            for row in batch.to_pylist():
-                if group and any(row[c] != group[0][c] for c in tile):
-                    pairs(group, out)
-                    group = []
-                group.append(row)
+            for x, y in zip(*np.nonzero(linked & _apart(a, b)), strict=True):
+                p, q = find(a[x]["label"]), find(b[y]["label"])
+                if p != q:
+                    root[p] = q
+                    out["a"].append(a[x]["key"])
+                    out["b"].append(b[y]["key"])
             yield out
-        out = {"a": [], "b": []}
-        if group:
-            pairs(group, out)
-        yield out
-
-    def pairs(group: list[dict], out: dict) -> None:
-        held = np.frombuffer(b"".join(r["registers"] for r in group), np.uint16).reshape(len(group), -1)
-        sizes = np.array([r["n_shingles"] for r in group])
-        labels = np.unique([r["label"] for r in group], return_inverse=True)[1]
-        centers, own = np.array([r["is_center"] for r in group]), np.array([r["own"] for r in group])
-        across = group[0]["i"] != group[0]["j"]
-        for x in range(len(group) - 1):
-            if centers[x]:
-                continue
-            rest = np.arange(x + 1, len(group))
-            rest = rest[(labels[rest] != labels[x]) & ~centers[rest] & ((own[rest] != own[x]) | (not across))]
-            if len(rest):
-                for y in rest[may_link(held[x], sizes[x], held[rest], sizes[rest], options)].tolist():
-                    a, b = sorted((group[x]["key"], group[y]["key"]))
-                    out["a"].append(a)
-                    out["b"].append(b)
 
-    dealt = rows.repartition(*tile).sortWithinPartitions(*tile)
-    return map_batches(dealt, "a binary, b binary", body).distinct()
+    return cut(map_batches(tiles(members, options.set_block), "a binary, b binary", body))
 
 
 def near_duplicates(docs: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -269,18 +358,20 @@ def near_duplicates(docs: DataFrame, options: NearDuplicates = NearDuplicates())
     )
     classes = cut(classes)
     banded = classes.select("key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("key").alias("center"), F.count("*").alias("members")).filter("members > 1")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     members = cut(banded.join(buckets, "band"))
-    stars = cut(members.filter("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct())
-    edges = confirmed(stars, docs, options)
+    popular = members.groupBy("key").agg(F.sum("members").alias("popularity"))
+    ranked = cut(members.join(popular, "key"))
+    centers = ranked.groupBy("band").agg(F.max(F.struct("popularity", "key")).alias("top")).select("band", F.col("top.key").alias("center"))
+    grouped = cut(ranked.join(centers, "band").filter("key <> center").select("center", "key").distinct())
+    edges = confirmed(likely(grouped.toDF("a", "b"), classes, options), docs, options)
     labels = cut(components(edges))
-    labelled = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    left = labelled.join(apart, "band", "left_semi").filter("members > 2")
-    left = left.join(classes.select("key", "n_shingles", "registers"), "key")
-    more = cut(_across(left, options).join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = cut(components(edges.unionByName(confirmed(more, docs, options))))
+    labelled = cut(grouped.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    hope = hopeful(labelled.join(classes.select("key", "n_shingles", "registers"), "key"), options)
+    if not hope.isEmpty():
+        sets = shingle_sets(docs, cut(hope.select("key").distinct()), options)
+        links = joining_links(labelled.join(hope, ["center", "key"]).join(sets, "key"), options)
+        labels = cut(components(edges.unionByName(links)))
     named = classes.select("key", "least_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     found = cut(named.join(least, "label").select("key", "component_id"))

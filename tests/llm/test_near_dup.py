@@ -63,7 +63,7 @@ def fixture():
 def test_equals_brute_force(spark):
     rows = fixture()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, band int")
-    for options in (nd.NearDuplicates(words=3, percent=85), nd.NearDuplicates(), nd.NearDuplicates(words=3, percent=85, block=4)):
+    for options in (nd.NearDuplicates(words=3, percent=85), nd.NearDuplicates(), nd.NearDuplicates(words=3, percent=85, block=4, set_block=3)):
         assert sorted(tuple(r) for r in nd.near_duplicates(docs, options).collect()) == brute(rows, options)
 
 
@@ -75,11 +75,11 @@ def test_estimate_is_corrected():
     for _ in range(60):
         a, b = (np.unique(r.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
         one, other = nd.registers_of(a, options), nd.registers_of(b, options)
-        got.append(nd.estimates(one, len(a), other[None], np.array([len(b)]), options)[0][0])
+        got.append(nd.estimates(one[None], np.array([len(a)]), other[None], np.array([len(b)]), options)[0][0, 0])
     assert abs(np.mean(got)) < 0.03
     a = np.unique(r.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
     one, other = nd.registers_of(a[:2700], options), nd.registers_of(a[300:], options)
-    assert abs(nd.estimates(one, 2700, other[None], np.array([2700]), options)[0][0] - 0.8) < 0.15
+    assert abs(nd.estimates(one[None], np.array([2700]), other[None], np.array([2700]), options)[0][0, 0] - 0.8) < 0.15
 
 
 def test_empty_repeated_and_null_ids(spark):
@@ -105,3 +105,10 @@ def test_long_paths_join(spark):
     edges = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in path], "a binary, b binary")
     got = {bytes(r["key"]): bytes(r["label"]) for r in nd.components(edges).collect()}
     assert got == {bytes([i]): bytes([0]) for i in range(41)} | {bytes([90]): bytes([90]), bytes([91]): bytes([90])}
+
+
+def test_common_sizes():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 50, r.integers(1, 40), dtype=np.uint64)) for _ in range(20)]
+    got = nd.common_sizes(sets[:8], sets[8:], columns=7)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[8:]] for a in sets[:8]]
