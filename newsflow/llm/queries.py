@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsflow.llm import chat, decontaminate, language_id, near_dup, packing, quality, secrets, sharding, suffix_dedup, toxicity
 from newsflow.llm.common import table
@@ -41,8 +42,11 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     told = table(prepare(spark), folder, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], told.schema)
+    turn = F.col("id")
+    extra = spark.range(0, 2, 1, 1).select(
+        F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
     return chat.digests(told.unionByName(extra))
 
 

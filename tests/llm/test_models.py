@@ -1,0 +1,216 @@
+import itertools
+import math
+import random
+import re
+import zlib
+
+import xxhash
+
+from newsflow.llm import language_id as li
+from newsflow.llm import quality as q
+from newsflow.llm import toxicity as tox
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+# language
+
+
+def all_segmentations(word, prob, unknown, known, longest):
+    if not word:
+        return 1.0
+    total = 0.0
+    for n in range(1, min(longest, len(word)) + 1):
+        piece = word[:n]
+        p = prob(piece) if piece in known else unknown if n == 1 else 0.0
+        if p:
+            total += p * all_segmentations(word[n:], prob, unknown, known, longest)
+    return total
+
+
+def test_forward_sums_every_segmentation():
+    model = li.LanguageModel()
+    known = li.vocabulary(model.vocabulary)
+    table = {"▁th": [0.1, 0.01], "e": [0.2, 0.3], "▁the": [0.05, 0.001], "re": [0.1, 0.1], "▁": [0.01, 0.02]}
+    unseen = [1e-4, 2e-4]
+    scorer = li.Scorer(table, unseen, model)
+    for word in ("there", "thee", "日x", "e"):
+        for k in range(2):
+            expected = all_segmentations("▁" + word, lambda s, k=k: table.get(s, unseen)[k], model.unknown, known, scorer.longest)
+            assert abs(scorer.word(word)[k] - math.log(expected)) < 1e-9
+    assert all(-1e6 < x < -1000 for x in scorer.word("q" * 4000))
+
+
+def test_expected_pieces_agree_with_enumeration():
+    known = frozenset(["a", "b", "ab", "ba"])
+    prob = {"a": 0.3, "b": 0.2, "ab": 0.4, "ba": 0.1}
+    counts, total = li.expected_pieces("abab", prob, 0.0, known, 2, 1e-6)
+    ways = {}
+    for cuts in itertools.product([0, 1], repeat=3):
+        parts, last = [], 0
+        for i, c in enumerate([*cuts, 1], 1):
+            if c:
+                parts.append("abab"[last:i])
+                last = i
+        if all(p in known for p in parts):
+            ways[tuple(parts)] = math.prod(prob[p] for p in parts)
+    assert abs(math.exp(total) - sum(ways.values())) < 1e-12
+    for piece in known:
+        assert abs(counts.get(piece, 0) - sum(w * p.count(piece) for p, w in ways.items()) / sum(ways.values())) < 1e-9
+
+
+def test_languages_held_out(spark):
+    r = random.Random(1)
+    words = {"en": "the and house water people going under".split(), "de": "der und haus wasser leute gehen unter".split()}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(20)), lang) for i in range(80) for lang in [r.choice(["en", "de"])]]
+    rows += [(200, None, "en"), (201, "", "de"), (202, "123 !?", "en"), (None, "water and people", None), (203, "wasser " * 20_000, None), rows[0]]
+    docs = spark.createDataFrame([(*x, 0.5) for x in rows], SCHEMA + ", score double")
+    got = li.languages(docs).collect()
+    assert len(got) == len(rows)
+    true = {i: lang for i, _, lang in rows[:80]}
+    for x in got:
+        assert x["held_out"] == (held(x["doc_id"]) if x["doc_id"] is not None else False) and 0 <= x["score"] <= 1
+        if x["doc_id"] in true:
+            assert x["lang_pred"] == true[x["doc_id"]]
+    named = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in got}
+    assert named[200] == named[201] == named[202] == ("und", 0.0) and named[None][0] == "en" and named[203][0] == "de"
+
+
+def test_language_without_training_rows(spark):
+    docs = spark.createDataFrame([(1, "some words", None)], SCHEMA)
+    assert [(x["lang_pred"], x["score"]) for x in li.languages(docs).collect()] == [("und", 0.0)]
+    assert li.languages(docs.limit(0)).count() == 0
+
+
+# quality
+
+
+def plain_quality(text, rules, weights):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, w = len(words), rules.window
+    windows = [tuple(words[i : i + w]) for i in range(n - w + 1)]
+    covered = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(w)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    single = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in words]
+    pair = []
+    for a, b in zip(single, single[1:]):
+        h = xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), 42)
+        pair.append(signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), h)))
+    slots = [h % rules.slots for h in single + pair]
+    score = sum(weights[s] for s in slots) / len(slots) if slots else None
+    failed = n < rules.min_words or 100 * len(covered) > rules.max_repeat_percent * n
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    counts = (n, sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), failed, not failed and score >= rules.floor)
+    return counts, score, slots
+
+
+def test_quality_equals_plain_python(spark):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdeé#|") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    texts = []
+    for _ in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.choice([0, 3, 19, 20, 60, 200]))]
+        if r.random() < 0.4:
+            words += words[: r.randint(0, 30)]
+        texts.append("".join(w + r.choice([" ", "\n", "\t", "  ", "\r\n", "\x0b", "\x0c"]) for w in words))
+    texts += [None, "", " \n ", "a " * 5000, "line\nline\n\nline \nline"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(*x, 1, True) for x in rows], SCHEMA + ", n_words int, kept boolean")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    rules = q.Rules(slots=256, floor=-0.02)
+    weights = [0.0] * rules.slots
+    plain = [plain_quality(t, rules, weights)[2] for t in texts]
+    raw, good = [0] * rules.slots, [0] * rules.slots
+    for i, slots in enumerate(plain):
+        for s in slots:
+            raw[s] += 1
+            good[s] += i < 40 and i % 2 == 1
+    a, b = (sum(x) + rules.slots for x in (good, raw))
+    weights = [math.log((g + 1) / a) - math.log((w + 1) / b) for g, w in zip(good, raw)]
+    got = {x["doc_id"]: x for x in q.quality(docs, labels, rules).collect()}
+    for i, t in enumerate(texts):
+        counts, score, _ = plain_quality(t, rules, weights)
+        x = got[i]
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"], x["base_failed"]) == counts[:6], i
+        assert (x["score"] is None) == (score is None) and (score is None or abs(x["score"] - score) < 1e-6)
+        if score is None or abs(score - rules.floor) > 1e-6:
+            assert x["kept"] == counts[6]
+
+
+def test_quality_without_labels_or_rows(spark):
+    docs = spark.createDataFrame([(None, "word " * 3 + " ".join(map(str, range(30))), "x")] * 2, SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [(x["score"], x["kept"]) for x in q.quality(docs, labels).collect()] == [(0.0, True)] * 2
+    assert q.quality(docs.limit(0), labels).count() == 0
+
+
+# toxicity
+
+
+def test_automaton_and_trie_equal_edit_distance():
+    r = random.Random(4)
+    terms = ["".join(r.choice("abcd") for _ in range(r.randint(4, 11))) for _ in range(40)]
+    trie = tox.Trie()
+    for t in terms:
+        trie.add(t)
+    options = tox.Lexicon()
+    matcher = tox.Matcher(sorted(set(terms)), [], frozenset(), options)
+    for _ in range(400):
+        word = list(r.choice(terms))
+        for _ in range(r.randint(0, 3)):
+            word[r.randrange(len(word))] = r.choice(["", "a", "xd", "b"])
+        word = "".join(word)
+        for edits in (1, 2):
+            got = tox.LevenshteinAutomaton(word, edits).intersect(trie)
+            assert got == sorted((n, t) for t in set(terms) if (n := edit_distance(word, t)) <= edits)
+        allowed = (len(word) >= options.one_edit) + (len(word) >= options.two_edits)
+        near = [edit_distance(word, t) for t in terms]
+        fits = [n for n, t in zip(near, terms) if n <= allowed and (n < 2 or len(t) >= options.two_edits) and (n == 0 or len(t) >= options.one_edit - 1)]
+        assert matcher.find(word) == (0 if 0 in near else min(fits, default=None))
+
+
+def test_toxicity_held_out_misspelled_and_quoted(spark):
+    r = random.Random(9)
+    plain = ["".join(r.choice("mnopqrst") for _ in range(r.randint(3, 7))) for _ in range(300)]
+    bad = ["grimblefax", "wackdorf", "zuvvel"]
+    rows, labels = [], []
+    for i in range(500):
+        words = [r.choice(plain) for _ in range(40)]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                words[r.randrange(40)] = r.choice(bad)
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, 1, int(toxic)))
+    rows += [(1000, "mnop grimblefx stop", "x"), (1001, 'he wrote: "you wackdorf" mnop', "x"), (1002, None, "x"), (1003, "", "x"), (None, "zuvvel mnop wackdorf", "x"), rows[0]]
+    docs = spark.createDataFrame([(*x, 3) for x in rows], SCHEMA + ", toxic int")
+    got = tox.toxicity(docs, spark.createDataFrame([*labels, (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")).collect()
+    by_id = {x["doc_id"]: x for x in got}
+    assert len(got) == len(rows)
+    for i in range(500):
+        assert by_id[i]["held_out"] == held(i) and by_id[i]["predicted"] == (i % 4 == 0)
+    assert by_id[1000]["predicted"] == 1 and by_id[None]["predicted"] == 1
+    assert by_id[1001]["score"] < by_id[0]["score"]
+    assert by_id[1002]["score"] == by_id[1003]["score"] < 0.3
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [(x["score"], x["predicted"]) for x in tox.toxicity(docs, labels).collect()] == [(0.0, 0)]
+    assert tox.toxicity(docs.limit(0), labels).count() == 0
