@@ -26,8 +26,10 @@ class Rules:
     slots: int = 1 << 14
     #: At most so many documents labelled good stand for trusted text, those with the smallest hashes of their ids.
     trusted_documents: int = 20_000
-    #: Added to each slot's count.
-    smoothing: float = 1.0
+    #: N-grams of the raw corpus below which a slot says nothing.
+    min_count: int = 20
+    #: N-grams per slot by which the trusted counts are drawn towards the raw corpus.
+    prior: float = 4.0
     #: Mean log ratio in nats per n-gram below which a document goes.
     floor: float = -0.1
 
@@ -53,7 +55,11 @@ def slots_of(slots: int) -> Column:
 
 
 def slot_weights(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float]:
-    """log P(slot | trusted) - log P(slot | raw); zeros without a trusted document."""
+    """log P(slot | trusted) - log P(slot | raw); zeros without a trusted document.
+
+    Trusted counts are smoothed towards the raw corpus and rare slots have no weight, so that a small corpus does not
+    speak against words that its trusted part merely has not shown yet.
+    """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     trusted = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_documents)
     marked = texts_of(docs).join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
@@ -64,8 +70,10 @@ def slot_weights(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float
         raw[r["slot"]], target[r["slot"]] = r["raw"], r["target"]
     if not sum(target):
         return [0.0] * rules.slots
-    a, b = (sum(x) + rules.smoothing * rules.slots for x in (target, raw))
-    return [math.log((t + rules.smoothing) / a) - math.log((r + rules.smoothing) / b) for t, r in zip(target, raw, strict=True)]
+    everything, trusted_grams, pull = sum(raw), sum(target), rules.prior * rules.slots
+    return [
+        math.log((t * everything / r + pull) / (trusted_grams + pull)) if r >= rules.min_count else 0.0 for t, r in zip(target, raw, strict=True)
+    ]
 
 
 def scored(docs: DataFrame, weights: list[float], rules: Rules) -> DataFrame:
@@ -114,3 +122,12 @@ def quality(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataF
     decide. Windows of words are compared by a chained 64-bit hash. Other columns are not read.
     """
     return scored(texts_of(docs), slot_weights(docs, labels, rules), rules).select(*COLUMNS)
+
+
+def filtered(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of documents, all their columns, that the rules keep."""
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("_document"))
+    rows = scored(whole, slot_weights(docs, labels, rules), rules)
+    # A filter on a row number stays above the projections; a filter on the verdict alone would be pushed below them
+    # as one expression, in which the arrays of words are made anew for every word.
+    return rows.withColumn("_row", F.monotonically_increasing_id()).filter("kept AND _row >= 0").select("_document.*")

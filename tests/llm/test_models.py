@@ -132,7 +132,7 @@ def test_quality_equals_plain_python(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(*x, 1, True) for x in rows], SCHEMA + ", n_words int, kept boolean")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
-    rules = q.Rules(slots=256, floor=-0.02)
+    rules = q.Rules(slots=256, floor=-0.02, min_count=5)
     weights = [0.0] * rules.slots
     plain = [plain_quality(t, rules, weights)[2] for t in texts]
     raw, good = [0] * rules.slots, [0] * rules.slots
@@ -140,8 +140,8 @@ def test_quality_equals_plain_python(spark):
         for s in slots:
             raw[s] += 1
             good[s] += i < 40 and i % 2 == 1
-    a, b = (sum(x) + rules.slots for x in (good, raw))
-    weights = [math.log((g + 1) / a) - math.log((w + 1) / b) for g, w in zip(good, raw)]
+    pull = rules.prior * rules.slots
+    weights = [math.log((g + pull * w / sum(raw)) / (sum(good) + pull) / (w / sum(raw))) if w >= 5 else 0.0 for g, w in zip(good, raw)]
     got = {x["doc_id"]: x for x in q.quality(docs, labels, rules).collect()}
     for i, t in enumerate(texts):
         counts, score, _ = plain_quality(t, rules, weights)
