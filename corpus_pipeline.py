@@ -16,10 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    weights = quality.slot_weights(docs, table(prepare(spark), sf_dir, "labels"), quality.Rules())
-    whole = docs.select("*", F.struct(*docs.columns).alias("_document"))
-    kept = quality.scored(whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_document"), weights, quality.Rules()).filter("kept")
-    return kept.select("_document.*")
+    return quality.filtered(docs, table(prepare(spark), sf_dir, "labels"))
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
