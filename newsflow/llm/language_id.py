@@ -34,12 +34,14 @@ class LanguageModel:
     smoothing: float = 0.01
     #: Probability of a character that is no piece, the same in every language.
     unknown: float = 1e-6
-    cached_words: int = 300_000
+    cached_words: int = 600_000
     undetermined: str = "und"
 
 
 #: Starts a word in the vocabulary.
 START = "▁"
+#: Left out on either side of a word.
+MARKS = ".,;:!?\"'()[]{}<>|/\\*#%&$+=_~`-–—…“”„«»‘’¿¡"
 _LETTER = re.compile(r"[^\W\d_]")
 _vocabularies: dict[str, frozenset[str]] = {}
 
@@ -94,7 +96,7 @@ def train(labelled: DataFrame, model: LanguageModel) -> tuple[list[str], dict[st
         held: dict[str, Counter] = {}
 
         def out() -> dict:
-            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
+            rows = [(lang, s, n) for lang, c in held.items() for w, n in c.items() if (s := w.strip(MARKS))]
             return {"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows]}
 
         for batch in batches:
@@ -146,32 +148,25 @@ class Scorer:
 
     def __init__(self, table: dict[str, list[float]], unseen: list[float], model: LanguageModel) -> None:
         known = vocabulary(model.vocabulary)
-        self.table, self.unseen, self.known = table, unseen, known
-        self.longest, self.unknown = max(map(len, known)), [model.unknown] * len(unseen)
+        self.table = {s: table.get(s, unseen) for s in known}
+        self.longest, self.unknown, self.width = max(map(len, known)), [model.unknown] * len(unseen), len(unseen)
         self.limit, self.places = model.cached_words, {}
         self.scores = np.empty((model.cached_words, len(unseen)))
 
     def word(self, word: str) -> list[float]:
         """The forward sum over all segmentations, rescaled where it gets small."""
         word = START + word
-        n, width, table, known = len(word), len(self.unseen), self.table, self.known
+        n, width, table = len(word), self.width, self.table
         ahead: list[list[float] | None] = [[1.0] * width] + [None] * n
         scale = [0.0] * width
         for j in range(1, n + 1):
-            total = [0.0] * width
-            for i in range(max(0, j - self.longest), j):
-                s = word[i:j]
-                p = table.get(s)
-                if p is None:
-                    if s in known:
-                        p = self.unseen
-                    elif i == j - 1:
-                        p = self.unknown
-                    else:
-                        continue
-                total = [t + a * b for t, a, b in zip(total, ahead[i], p)]  # noqa: B905
+            total = [a * b for a, b in zip(ahead[j - 1], table.get(word[j - 1], self.unknown))]  # noqa: B905
+            for i in range(max(0, j - self.longest), j - 1):
+                p = table.get(word[i:j])
+                if p is not None:
+                    total = [t + a * b for t, a, b in zip(total, ahead[i], p)]  # noqa: B905
             ahead[j] = total
-            for k in range(width):
+            for k in range(width) if min(total) < 1e-120 else ():
                 if total[k] < 1e-120:
                     for i in range(max(0, j - self.longest), j + 1):
                         ahead[i][k] *= 1e100
@@ -180,15 +175,17 @@ class Scorer:
 
     def text(self, text: str) -> np.ndarray:
         words = text.lower().split()
-        total = np.zeros(len(self.unseen))
+        total = np.zeros(self.width)
         for at in range(0, len(words), self.limit):
             part = words[at : at + self.limit]
             fresh = {w for w in part if w not in self.places}
             if len(self.places) + len(fresh) > self.limit:
                 self.places, fresh = {}, set(part)
             for w in sorted(fresh):
-                self.places[w] = len(self.places)
-                self.scores[self.places[w]] = self.word(w)
+                bare = w.strip(MARKS)
+                at_row = len(self.places)
+                self.scores[at_row] = (self.scores[self.places[bare]] if bare in self.places else self.word(bare)) if bare else 0.0
+                self.places[w] = at_row
             total += self.scores[[self.places[w] for w in part]].sum(axis=0)
         return total
 

@@ -101,15 +101,16 @@ class Matcher:
         self.words, self.stems, self.genuine, self.options = frozenset(words), frozenset(stems), genuine, options
         self.stem_lengths = sorted({len(s) for s in stems})
         self.trie = Trie()
-        self.parts: dict[int, set[str]] = {}
+        self.parts: dict[int, dict[str, set[int]]] = {}
         for term in words:
             if len(term) >= options.one_edit - 1:
                 self.trie.add(term)
-                # A string within d edits of a term has one of d + 1 parts of it unchanged.
+                # A string within d edits of a term has one of d + 1 parts of it unchanged, d places off at most.
                 pieces = 3 if len(term) >= options.two_edits - 2 else 2
                 for p in range(pieces):
-                    part = term[p * len(term) // pieces : (p + 1) * len(term) // pieces]
-                    self.parts.setdefault(len(part), set()).add(part)
+                    first, end = p * len(term) // pieces, (p + 1) * len(term) // pieces
+                    places = self.parts.setdefault(end - first, {}).setdefault(term[first:end], set())
+                    places.update(range(first - pieces + 1, first + pieces))
         self.kept: dict[str, int | None] = {}
 
     def edits(self, word: str) -> int | None:
@@ -126,7 +127,7 @@ class Matcher:
         allowed = (len(word) >= self.options.one_edit) + (len(word) >= self.options.two_edits)
         if not allowed or len(word) > 64 or word in self.genuine:
             return None
-        if not any(word[i : i + n] in held for n, held in self.parts.items() for i in range(len(word) - n + 1)):
+        if not any(i in held.get(word[i : i + n], ()) for n, held in self.parts.items() for i in range(len(word) - n + 1)):
             return None
         for edits, term in LevenshteinAutomaton(word, allowed).intersect(self.trie):
             if edits < 2 or len(term) >= self.options.two_edits:
