@@ -45,6 +45,18 @@ def map_batches(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBa
     return df.mapInArrow(run, types)
 
 
+_made: dict[str, object] = {}
+
+
+def once(name: str, make: Callable[[], object]) -> object:
+    """What `make` returns, kept by a worker from task to task; a new name drops the old ones of its kind."""
+    if name not in _made:
+        for old in [k for k in _made if k.split(":")[0] == name.split(":")[0]]:
+            del _made[old]
+        _made[name] = make()
+    return _made[name]
+
+
 def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each value, without decoding or copying; a null is empty."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

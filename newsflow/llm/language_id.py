@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsflow.llm.common import map_batches, texts_of
+from newsflow.llm.common import map_batches, once, texts_of
 from newsflow.session import cut
 
 
@@ -211,9 +212,10 @@ def languages(docs: DataFrame, model: LanguageModel = LanguageModel()) -> DataFr
     sample = cut(usable.alias("u").join(ids.alias("i"), chosen, "left_semi"))
     langs, table, unseen, prior = train(sample, model)
     shared = docs.sparkSession.sparkContext.broadcast((table, unseen))
+    name = f"languages:{uuid.uuid4().hex}"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        scorer = Scorer(*shared.value, model) if langs else None
+        scorer = once(name, lambda: Scorer(*shared.value, model)) if langs else None
         for batch in batches:
             names, scores = [], []
             for text in batch.column(1).to_pylist():

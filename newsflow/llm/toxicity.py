@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import map_batches, texts_of
+from newsflow.llm.common import map_batches, once, texts_of
 from newsflow.llm.language_id import held_out
 from newsflow.session import cut
 
@@ -41,7 +42,7 @@ class Lexicon:
     #: Characters looked at on either side of a match.
     window: int = 60
     threshold: float = 0.7
-    cached_words: int = 300_000
+    cached_words: int = 600_000
 
 
 WORD = re.compile(r"[^\W_]+")
@@ -103,7 +104,8 @@ class Matcher:
         self.trie = Trie()
         self.parts: dict[int, dict[str, set[int]]] = {}
         for term in words:
-            if len(term) >= options.one_edit - 1:
+            # What a stem covers is matched by the stem, whatever follows it.
+            if len(term) >= options.one_edit - 1 and not any(term[:n] in self.stems for n in self.stem_lengths):
                 self.trie.add(term)
                 # A string within d edits of a term has one of d + 1 parts of it unchanged, d places off at most.
                 pieces = 3 if len(term) >= options.two_edits - 2 else 2
@@ -219,8 +221,8 @@ def _genuine(sample: DataFrame, matcher: Matcher, options: Lexicon) -> frozenset
     """Words of clean labelled texts that are near a term without being a misspelling of it."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        found = {w for b in batches for t in b.column(0).to_pylist() for w in WORD.findall(t.lower()) if matcher.edits(w)}
-        yield {"word": list(found)}
+        words = {w for b in batches for t in b.column(0).to_pylist() for w in WORD.findall(t.lower())}
+        yield {"word": [w for w in words if matcher.find(w)]}
 
     rows = map_batches(sample.filter("toxic = 0").select("text"), "word string", body).distinct()
     return frozenset(r["word"] for r in rows.orderBy("word").limit(10 * options.terms).collect())
@@ -260,9 +262,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, options: Lexicon = Lexicon()) -
     matcher = Matcher(words, stems, frozenset(), options)
     genuine = _genuine(sample, matcher, options) if words else frozenset()
     given = docs.sparkSession.sparkContext.broadcast((words, stems, genuine))
+    name = f"toxicity:{uuid.uuid4().hex}"
 
     def found(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        own = Matcher(*given.value, options)
+        own = once(name, lambda: Matcher(*given.value, options))
         for batch in batches:
             yield batch, np.array([own.features(t) for t in batch.column(at).to_pylist()], float).reshape(-1, 3)
 
