@@ -79,8 +79,7 @@ def _(v):
     SELECT article_id, source_name, published_s FROM articles
     WHERE published_s >= (SELECT max(published_s) FROM articles) - 10800""")
 def _(v):
-    by_lang = [v.articles.filter(F.col("lang") == code) for code in ("en", "fr", "de", "es")]
-    rows = select.fresh_articles(by_lang, v.latest, P.max_publish_age_hours)
+    rows = select.fresh_articles([v.articles], v.latest, P.max_publish_age_hours)
     return rows.select("article_id", "source_name", seconds("published_at").alias("published_s"))
 
 
@@ -99,7 +98,7 @@ def _(v):
 
 
 @query("pool_write", """
-    SELECT article_id, title, k.url, url_hash, substring(text, 1, 1900) AS description, published_s, k.score,
+    SELECT article_id, title, k.url, url_hash, text AS description, published_s, k.score,
       coalesce(CASE WHEN article_id % 3 <> 0 THEN published_s - 60 END, published_s) AS first_seen_s FROM keyed k""")
 def _(v):
     first_seen = F.when(F.col("article_id") % 3 != 0, F.col("published_at") - F.expr("INTERVAL 60 SECOND"))
@@ -140,10 +139,10 @@ def _(v):
 @query("post_export", r"""
     SELECT article_id, '_t acl cdate ' || CASE WHEN description <> '' THEN 'dsc ' ELSE '' END || 'prevsrc ' ||
       CASE WHEN title <> '' THEN 'ttl ' ELSE '' END || 'txt udate uid' AS fields,
-      substring(text, 1, 200) || chr(10) || chr(10) || url AS txt, nullif(description, '') AS dsc FROM articles""")
+      text || chr(10) || chr(10) || url AS txt, nullif(description, '') AS dsc FROM articles""")
 def _(v):
     rows = select.export_record(v.articles.select(
-        "article_id", text_fn.post_text(F.substring("text", 1, 200), F.col("url")).alias("post_text"),
+        "article_id", text_fn.post_text(F.col("text"), F.col("url")).alias("post_text"),
         F.col("published_at").alias("as_of"), F.lit("u1").alias("user_id"), F.col("description").alias("preview_description"),
         F.lit("").alias("preview_image"), F.col("url").alias("preview_url"), F.col("title").alias("preview_title"),
     ))
@@ -209,7 +208,7 @@ def _(v):
 
 
 @query("declined_filter", """
-    SELECT article_id, substring(text, 1, 200) AS generated FROM articles WHERE article_id % 5 > 1""")
+    SELECT article_id, text AS generated FROM articles WHERE article_id % 5 > 1""")
 def _(v):
     return v.generated.filter(~text_fn.is_declined(F.col("generated"))).select("article_id", "generated")
 

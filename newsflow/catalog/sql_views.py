@@ -15,7 +15,7 @@ STOP = (
 VIEWS = {
     "articles": f"""
         SELECT doc_id AS article_id, doc_id AS seq, doc_id // 50 AS batch_id, source AS source_name, lang,
-          substring(text, 1, 80) AS title, CASE WHEN doc_id % 9 = 0 THEN '' ELSE substring(text, 81) END AS description,
+          CASE WHEN doc_id % 9 = 0 THEN text ELSE substring(text, 1, 80) END AS title, CASE WHEN doc_id % 9 = 0 THEN '' ELSE substring(text, 81) END AS description,
           'https://www.src' || (n % 20) || '.example.com/a/' || n ||
             CASE doc_id % 3 WHEN 1 THEN '?u=' || doc_id WHEN 2 THEN '#s' ELSE '' END AS url,
           {BASE} + doc_id * {STEP} AS published_s, (doc_id * 37) % 100 / 10.0::DOUBLE AS score, text

@@ -56,7 +56,7 @@ class Views:
         suffix = F.when(d % 3 == 1, text_of("?u=", d)).when(d % 3 == 2, F.lit("#s")).otherwise("")
         return documents.select(
             d.alias("article_id"), d.alias("seq"), F.expr("doc_id DIV 50").alias("batch_id"),
-            F.col("source").alias("source_name"), "lang", F.substring("text", 1, 80).alias("title"),
+            F.col("source").alias("source_name"), "lang", F.when(d % 9 == 0, F.col("text")).otherwise(F.substring("text", 1, 80)).alias("title"),
             F.when(d % 9 == 0, "").otherwise(F.expr("substring(text, 81)")).alias("description"),
             F.concat(text_of("https://www.src", n % 20, ".example.com/a/", n), suffix).alias("url"),
             at(d * STEP + BASE).alias("published_at"),
@@ -122,7 +122,7 @@ class Views:
         return self.articles.select(
             "article_id", "url",
             F.when(d % 5 == 0, "**No comment**.").when(d % 5 == 1, " _no Comment_! ")
-            .otherwise(F.substring("text", 1, 200)).alias("generated"),
+            .otherwise(F.col("text")).alias("generated"),
         )
 
     @cached_property
@@ -171,7 +171,7 @@ class Views:
 
     @cached_property
     def verbs(self) -> DataFrame:
-        return entities.lexicon(self.spark, LEXICON)
+        return entities.lexicon(self.spark, {verb: kind for kind, verbs in LEXICON.items() for verb in verbs})
 
     @cached_property
     def article_entities(self) -> DataFrame:

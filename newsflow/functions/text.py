@@ -47,8 +47,9 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACES))
 
 
-def compare_text(title: Column, description: Column, limit: int) -> Column:
-    return F.substring(F.concat_ws("\n", title, description), 1, limit)
+def compare_text(title: Column, description: Column, limit: int | None = None) -> Column:
+    whole = F.concat_ws("\n", title, description)
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def word_tokens(text: Column) -> Column:
@@ -116,7 +117,7 @@ def usable_text(text: Column, fallback: Column, min_chars: int, phrases: tuple[s
 
 def labelled_field(raw: Column, name: str) -> Column:
     """Value of the first `NAME...: value` line, upper-cased."""
-    return F.upper(F.trim(F.regexp_extract(raw, rf"(?im)^{name}[^:\r\n]*:(.*)$", 1)))
+    return F.upper(strip(F.regexp_extract(raw, rf"(?im)^{name}[^:\r\n]*:(.*)$", 1)))
 
 
 def says_same(raw: Column) -> Column:

@@ -29,9 +29,9 @@ def fresh_articles(feeds: list[DataFrame], as_of, max_age_hours: float) -> DataF
     return rows.filter(F.col("published_at") >= _now(as_of) - hours(max_age_hours))
 
 
-def pool_row(scored: DataFrame, stored_chars: int) -> DataFrame:
-    """Rows as the candidate pool stores them: long text cut, first-seen filled, not sent."""
-    cut_text = lambda c: F.substring(F.col(c), 1, stored_chars).alias(c)
+def pool_row(scored: DataFrame, stored_chars: int | None = None) -> DataFrame:
+    """Rows as the candidate pool stores them: first-seen filled, not sent, text cut only if a limit is given."""
+    cut_text = lambda c: (F.col(c) if stored_chars is None else F.substring(F.col(c), 1, stored_chars)).alias(c)
     return scored.select(
         "article_id", "seq", cut_text("title"), "url", "url_hash", cut_text("source_name"), cut_text("description"),
         "published_at", "score", cut_text("score_comment"), "heat_score",

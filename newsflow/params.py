@@ -39,8 +39,9 @@ class Params:
     # arrival
     max_publish_age_hours: float = 3
     url_ttl_seconds: int = 864_000
-    compare_chars: int = 6000
-    stored_chars: int = 1900
+    #: Texts are stored and compared whole unless a limit is given.
+    compare_chars: int | None = None
+    stored_chars: int | None = None
     # similarity
     duplicate_floor: float = 0.8
     related_floor: float = 0.6
@@ -65,7 +66,7 @@ class Params:
     cjk_max: float = 0.05
     cjk_meta_max: float = 0.2
     min_language_chars: int = 20
-    language_chars: int = 1000
+    language_chars: int | None = None
     min_text_chars: int = 200
     paywall_phrases: tuple[str, ...] = PAYWALL_PHRASES
     blocked_phrases: tuple[str, ...] = BLOCKED_PHRASES

@@ -43,6 +43,8 @@ def shortlist(pool: DataFrame, send_log: DataFrame, as_of, params: Params) -> Da
 
 def write_posts(batch: DataFrame, inputs: Inputs, params: Params) -> DataFrame:
     """Body text or description, English only, generated text attached; declined and blocked rows drop."""
+    limit = params.language_chars
+    judged = F.col("content") if limit is None else F.substring("content", 1, limit)
     with_text = (
         batch.join(inputs.texts.select("url", "page_text", "detected"), "url", "left")
         .withColumn("content", F.coalesce(
@@ -50,7 +52,7 @@ def write_posts(batch: DataFrame, inputs: Inputs, params: Params) -> DataFrame:
             F.col("description"),
         ))
         .filter(is_english(
-            F.substring("content", 1, params.language_chars), F.col("detected"), params.cjk_max, params.min_language_chars
+            judged, F.col("detected"), params.cjk_max, params.min_language_chars
         ))
     )
     posts = with_text.join(inputs.generated, "article_id").filter(~is_declined(F.col("generated"))).withColumn(

@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="newsflow-"))
     return sc.getCheckpointDir()

@@ -164,3 +164,20 @@ def test_gazetteer_file(spark, tmp_path):
         '{"congress": [["A B", "B", false], ["C D", "D", true]], "cabinet": [["E F", "F"]], "notable": [["G H", null]], "aliases": ["I"]}')
     got = entities.gazetteer_patterns(entities.read_gazetteer(spark, str(tmp_path / "g.json")))
     assert {r.pattern for r in got.collect()} == {"A B", "B", "C D", "E F", "F", "G H", "I"}
+
+
+def test_names_of_any_length(spark):
+    from newsflow.operators import entities
+
+    long_name = "World Health Organization Regional Office For Europe"
+    patterns = spark.createDataFrame([(long_name, "ORG"), ("Ann Lee", "PERSON")], "pattern string, label string")
+    texts = spark.createDataFrame([(1, f"Today {long_name} met."), (2, "Ann Lee spoke"), (3, "World Health")], "id long, text string")
+    hits = {(r["id"], r["pattern"]) for r in entities.name_hits(texts, patterns, "id").collect()}
+    assert hits == {(1, long_name), (2, "Ann Lee")}
+
+
+def test_verdict_after_a_tab(spark):
+    from newsflow.functions.text import says_same
+
+    rows = spark.createDataFrame([("VERDICT:\tSAME_EVENT",), ("VERDICT: DIFFERENT",)], "raw string")
+    assert [r[0] for r in rows.select(says_same(F.col("raw"))).collect()] == [True, False]
