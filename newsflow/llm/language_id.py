@@ -35,7 +35,7 @@ class LanguageModel:
     smoothing: float = 0.01
     #: Probability of a character that is no piece, the same in every language.
     unknown: float = 1e-6
-    cached_words: int = 600_000
+    cached_words: int = 1_500_000
     undetermined: str = "und"
 
 
