@@ -33,11 +33,10 @@ def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a mark; n_chars follows the text."""
     prepare(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    clean = secrets.secrets(docs, redact="[SECRET]", carry=others)
-    if "n_chars" in others:
+    clean = secrets.redacted(docs, "[SECRET]")
+    if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

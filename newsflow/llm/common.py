@@ -30,9 +30,9 @@ def texts_of(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
 
 
-def map_batches(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, body: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow for a body that yields plain dictionaries of columns."""
-    types = StructType.fromDDL(schema)
+    types = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

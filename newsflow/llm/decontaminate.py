@@ -174,5 +174,7 @@ def contaminated(docs: DataFrame, items: DataFrame, options: Alignment = Alignme
 def decontaminated(docs: DataFrame, items: DataFrame, options: Alignment = Alignment()) -> DataFrame:
     """The rows of documents, all their columns, without those that hold a passage of a test item."""
     bad = contaminated(docs, items, options).select(F.col("doc_id").alias("_bad_id"), F.col("text_id").alias("_bad_text")).distinct()
-    marked = docs.withColumn("_text_id", F.md5(F.col("text").cast("binary")))
-    return marked.join(bad, F.expr("doc_id <=> _bad_id AND _text_id = _bad_text"), "left_anti").drop("_text_id")
+    # Whole rows travel as one column, so that no name of theirs can clash.
+    marked = docs.select(F.struct("*").alias("document"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    left = marked.join(bad, F.expr("document.doc_id <=> _bad_id AND text_md5 = _bad_text"), "left_anti")
+    return left.select("document.*")

@@ -387,6 +387,6 @@ def deduplicated(docs: DataFrame, options: NearDuplicates = NearDuplicates()) ->
     """
     marks = near_duplicates(docs, options)
     gone = marks.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     # Dealt by id already, so this needs no further shuffle.
     return left.dropDuplicates(["doc_id", "text"])

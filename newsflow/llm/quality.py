@@ -126,7 +126,7 @@ def quality(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataF
 
 def filtered(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of documents, all their columns, that the rules keep."""
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("_document"))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("_document"))
     rows = scored(whole, slot_weights(docs, labels, rules), rules)
     # A filter on a row number stays above the projections; a filter on the verdict alone would be pushed below them
     # as one expression, in which the arrays of words are made anew for every word.

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from newsflow.llm.common import byte_rows, map_batches, texts_of
@@ -199,7 +200,11 @@ def automata_of(docs: DataFrame, options: Grammar) -> dict[str, list]:
     return {kind: infer(values, options.alpha) for kind, values in examples(docs, options).items()}
 
 
-SPANS = "array<struct<kind:string,start:long,end:long>>"
+RESULTS = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, format_score double"
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def secrets(docs: DataFrame, options: Grammar = Grammar(), redact: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -213,9 +218,12 @@ def secrets(docs: DataFrame, options: Grammar = Grammar(), redact: str | None =
     """
     automata = automata_of(docs, options)
     shared = docs.sparkSession.sparkContext.broadcast(automata)
-    rows = docs.select("doc_id", "text", *carry)
-    kept = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in carry)
-    schema = kept + "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, format_score double" + (", text string" if redact is not None else "")
+    # Carried columns travel under numbers, so that no name of theirs can clash with a result's.
+    names = [f"carry_{i}" for i in range(len(carry))]
+    rows = docs.select("doc_id", "text", *[_named(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    schema = StructType.fromDDL(RESULTS + (", text string" if redact is not None else ""))
+    for n in names:
+        schema = schema.add(n, rows.schema[n].dataType)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -232,9 +240,9 @@ def secrets(docs: DataFrame, options: Grammar = Grammar(), redact: str | None =
                 out["format_score"].append(best if best > -math.inf else None)
                 if redact is not None:
                     out["text"].append(blanked(raw.decode(), base + more, redact) if base or more else column[i].as_py())
-            yield out | {"doc_id": batch.column(0)} | {c: batch.column(2 + k) for k, c in enumerate(carry)}
+            yield out | {"doc_id": batch.column(0)} | {n: batch.column(2 + k) for k, n in enumerate(names)}
 
-    return map_batches(rows, schema, body)
+    return map_batches(rows, schema, body).toDF(*schema.names[: len(schema) - len(carry)], *carry)
 
 
 def written(spans: list) -> str:
@@ -250,6 +258,17 @@ def blanked(text: str, spans: list, mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, mark: str, options: Grammar = Grammar()) -> DataFrame:
+    """The rows of documents, all their columns in order, each secret in a text replaced by the mark."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = secrets(docs, options, mark, others)
+    # By place: a carried column may bear the name of a result.
+    numbered = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
+    first = len(found.columns) - len(others)
+    place = {"doc_id": 0, "text": first - 1} | {c: first + i for i, c in enumerate(others)}
+    return numbered.select(*[F.col(f"c{place[c]}").alias(c) for c in docs.columns])
+
+
 def digests(docs: DataFrame, options: Grammar = Grammar()) -> DataFrame:
     return secrets(docs, options).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "format_score"

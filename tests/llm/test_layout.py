@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -91,6 +92,29 @@ def test_pipeline_stages(spark):
     assert ran.select("doc_id", "piece", "ids_crc32").exceptAll(left.select("doc_id", "piece", "ids_crc32")).count() == 0 and ran.count() == left.count()
 
 
+CLASHES = (
+    "spans", "base", "n_assign", "format_score", "carry_0", "words", "hashes", "kept", "score", "_row", "_document", "_gone", "gone",
+    "document", "text_md5", "text_id", "_bad_id", "item_id", "n_shingles", "component_id", "key", "label", "piece", "a.b c",
+)
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(f"extra {i}"))
+    docs = docs.withColumn("registers", F.struct(F.lit(1).alias("x"), F.current_timestamp().alias("at")))
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, ROOT)
+        assert left.columns == docs.columns, name
+        left.write.parquet(path := f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/named-{name}")
+        left = spark.read.parquet(path)
+    assert left.count() > 0
+    for i, c in enumerate(CLASHES):
+        assert [r[0] for r in left.select(F.col(f"`{c}`")).distinct().collect()] == [f"extra {i}"]
+    assert corpus_pipeline.STAGES[-1][1](spark, left, ROOT).count() > 0
+
+
 def test_pipeline_survives_odd_rows(spark, tmp_path):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "word " * 30, "en", "s", 7), (1, "word " * 30, "en", "s", 7), (2, " ".join(f"w{i}" for i in range(40)) + " token=abcdef0123", "en", "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
