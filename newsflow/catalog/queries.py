@@ -722,9 +722,13 @@ def _(v):
     FROM (SELECT *, n_fresh > 0 AND NOT claimed AS kept FROM (
       SELECT batch_id, url_hash, count(*) AS n, count(*) FILTER (fresh) AS n_fresh,
         arg_min(length(t) < 20 OR lang = 'en', seq) FILTER (fresh) AS english, arg_min(score, seq) FILTER (fresh) AS score,
-        url_hash IN (SELECT url_hash FROM keyed JOIN labels ON doc_id = article_id WHERE toxic = 1) AS claimed
-      FROM (SELECT *, published_s >= max(published_s) OVER (PARTITION BY batch_id) - 10800 AS fresh,
-          regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g') AS t FROM keyed)
+        coalesce(any_value(claimed_s) > max(now_s) - 864000, false) AS claimed
+      FROM (SELECT k.*, claimed_s, max(published_s) OVER (PARTITION BY batch_id) AS now_s,
+          published_s >= max(published_s) OVER (PARTITION BY batch_id) - 10800 AS fresh,
+          regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g') AS t
+        FROM keyed k LEFT JOIN (
+          SELECT url_hash, max((SELECT max(published_s) FROM articles) - CASE WHEN quality = 1 THEN 9 ELSE 11 END * 86400) AS claimed_s
+          FROM keyed JOIN labels ON doc_id = article_id WHERE toxic = 1 GROUP BY 1) c USING (url_hash))
       GROUP BY 1, 2)) GROUP BY 1""")
 def _(v):
     clock = v.articles.groupBy("batch_id").agg(F.max("published_at").alias("as_of"))

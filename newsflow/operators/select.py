@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from newsflow.functions.text import blank_to_null, contains_any, is_weekday, json_ranks
 from newsflow.params import Params
 
-_PHRASES_INLINE = 256
-
 
 def _now(as_of) -> Column:
     if isinstance(as_of, Column):
@@ -57,21 +55,19 @@ def pool_eligible(pool: DataFrame, as_of, max_age_hours: float, score_floor: flo
 def without_phrases(rows: DataFrame, columns: list[str], phrases) -> DataFrame:
     """Drop rows whose lower-cased columns, joined by blanks, contain a phrase.
 
-    `phrases` is a tuple or a table with a `phrase` column. A short list becomes one expression; a long
-    table is joined on the first letters of each phrase, so its size never reaches the driver.
+    `phrases` is a tuple of parameters, which becomes one expression, or a table with a `phrase` column, which
+    is joined on the first letters of each phrase whatever its size. Either is lower-cased.
     """
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
     if isinstance(phrases, DataFrame):
-        table = phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
-        head = [r.phrase for r in table.limit(_PHRASES_INLINE + 1).collect()]
-        if len(head) > _PHRASES_INLINE:
-            return _without_phrase_table(rows, text, table)
-        phrases = tuple(head)
-    return rows.filter(~contains_any(text, phrases))
+        return _without_phrase_table(rows, text, phrases.select(F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct())
+    return rows.filter(~contains_any(text, tuple(p.lower() for p in phrases)))
 
 
 def _without_phrase_table(rows: DataFrame, text: Column, table: DataFrame) -> DataFrame:
     size = table.agg(F.min(F.length("phrase"))).first()[0]
+    if size is None:
+        return rows
     heads = table.withColumn("head", F.substring("phrase", 1, size))
     marked = rows.withColumn("row_text", text).withColumn("row_key", F.sha2("row_text", 256))
     grams = F.array_distinct(F.regexp_extract_all("row_text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))

@@ -215,15 +215,19 @@ def funnel_report(articles: DataFrame, claims: DataFrame | None, as_of, params:
     )
     keyed = articles.withColumn("url_hash", url_hash(F.col("url"))).withColumn("is_fresh", fresh)
     per_url = keyed.groupBy(*keys, "url_hash").agg(
+        F.max(as_of).alias("now"),
         F.count("*").alias("n"), F.count_if("is_fresh").alias("n_fresh"),
         F.min_by(english, F.when(F.col("is_fresh"), F.col("seq"))).alias("english"),
         F.min_by("score", F.when(F.col("is_fresh"), F.col("seq"))).alias("score"),
     )
     if claims is not None:
-        per_url = per_url.join(claims.select("url_hash").distinct().withColumn("claimed", F.lit(True)), "url_hash", "left")
+        latest = claims.groupBy("url_hash").agg(F.max("claimed_at").alias("claimed_at"))
+        per_url = per_url.join(latest, "url_hash", "left")
     else:
-        per_url = per_url.withColumn("claimed", F.lit(None).cast("boolean"))
-    kept = (F.col("n_fresh") > 0) & F.col("claimed").isNull()
+        per_url = per_url.withColumn("claimed_at", F.lit(None).cast("timestamp"))
+    ttl = F.expr(f"INTERVAL {int(params.url_ttl_seconds)} SECOND")
+    live = F.coalesce(F.col("claimed_at") > F.col("now") - ttl, F.lit(False))
+    kept = (F.col("n_fresh") > 0) & ~live
     return per_url.groupBy(*keys).agg(
         F.sum("n").alias("n_raw"), F.sum("n_fresh").alias("n_fresh"),
         F.count_if(kept).alias("n_new"),

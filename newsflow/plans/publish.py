@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsflow.functions.language import is_english
 from newsflow.functions.text import is_declined, post_text, usable_text
 from newsflow.functions.urls import url_hash
-from newsflow.operators import dedup, select, simjoin, state
+from newsflow.operators import dedup, pages, select, simjoin, state
 from newsflow.params import Params
 from newsflow.session import cut
 from newsflow.sources.tables import Tables
@@ -46,7 +46,7 @@ def write_posts(batch: DataFrame, inputs: Inputs, params: Params) -> DataFrame:
     limit = params.language_chars
     judged = F.col("content") if limit is None else F.substring("content", 1, limit)
     with_text = (
-        batch.join(inputs.texts.select("url", "page_text", "detected"), "url", "left")
+        batch.join(pages.one_per_url(inputs.texts, "page_text", "detected"), "url", "left")
         .withColumn("content", F.coalesce(
             usable_text(F.col("page_text"), F.col("description"), params.min_text_chars, params.paywall_phrases),
             F.col("description"),
@@ -64,7 +64,7 @@ def write_posts(batch: DataFrame, inputs: Inputs, params: Params) -> DataFrame:
 def run(tables: Tables, cycle: int, as_of, inputs: Inputs, params: Params = Params()) -> DataFrame:
     """Choose the winner of the cycle, write its records and return the export record (0 or 1 row)."""
     now = F.lit(as_of)
-    batch = cut(shortlist(tables.read("pool"), tables.read("send_log", cycle), now, params))
+    batch = cut(shortlist(tables.read("pool", cycle), tables.read("send_log", cycle), now, params))
     posts = write_posts(batch.drop("cycle"), inputs, params).withColumn("cycle", F.lit(cycle).cast("bigint"))
     ranked = select.priority_rank(posts, inputs.ranks, KEY)
     with_vectors = cut(ranked.join(inputs.post_vectors.select("article_id", "embedding"), "article_id"))
@@ -79,7 +79,7 @@ def run(tables: Tables, cycle: int, as_of, inputs: Inputs, params: Params = Para
         delivered = winner
 
     events = tables.events(cycle)
-    points = tables.read("event_points").join(events.select("event_id", "last_updated_at"), "event_id")
+    points = tables.read("event_points", cycle).join(events.select("event_id", "last_updated_at"), "event_id")
     titles = delivered.select("article_id").join(inputs.title_vectors, "article_id")
     hit = simjoin.best_recent(
         titles, points, params.related_floor, at="last_updated_at", as_of=as_of, hours=params.event_hours,
@@ -102,7 +102,7 @@ def run(tables: Tables, cycle: int, as_of, inputs: Inputs, params: Params = Para
 def export(winner: DataFrame, meta: DataFrame | None, now) -> DataFrame:
     names = ["preview_title", "preview_description", "preview_image", "preview_url"]
     if meta is not None:
-        rows = winner.join(meta.select("url", *names), "url", "left")
+        rows = winner.join(pages.one_per_url(meta, *names), "url", "left")
     else:
         rows = winner.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
     return select.export_record(rows.withColumns({
