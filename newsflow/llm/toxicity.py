@@ -95,6 +95,11 @@ class LevenshteinAutomaton:
         return sorted(out)
 
 
+def _shorter(word: str) -> list[str]:
+    """The word with one letter left out, for each of its letters."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 class Matcher:
     """Edits between a word and the closest term, kept by word up to a limit; None without a match."""
 
@@ -102,17 +107,18 @@ class Matcher:
         self.words, self.stems, self.genuine, self.options = frozenset(words), frozenset(stems), genuine, options
         self.stem_lengths = sorted({len(s) for s in stems})
         self.trie = Trie()
+        self.less: set[str] = set()
         self.parts: dict[int, dict[str, set[int]]] = {}
         for term in words:
-            # What a stem covers is matched by the stem, whatever follows it.
-            if len(term) >= options.one_edit - 1 and not any(term[:n] in self.stems for n in self.stem_lengths):
+            # Also terms that a stem covers: the stem is compared exactly, so a misspelling inside it needs the term.
+            if len(term) >= options.one_edit - 1:
                 self.trie.add(term)
-                # A string within d edits of a term has one of d + 1 parts of it unchanged, d places off at most.
-                pieces = 3 if len(term) >= options.two_edits - 2 else 2
-                for p in range(pieces):
-                    first, end = p * len(term) // pieces, (p + 1) * len(term) // pieces
-                    places = self.parts.setdefault(end - first, {}).setdefault(term[first:end], set())
-                    places.update(range(first - pieces + 1, first + pieces))
+                self.less.update([term], _shorter(term))
+            if len(term) >= options.two_edits:
+                # A string within two edits of a term has one of three parts of it unchanged, two places off at most.
+                for p in range(3):
+                    first, end = p * len(term) // 3, (p + 1) * len(term) // 3
+                    self.parts.setdefault(end - first, {}).setdefault(term[first:end], set()).update(range(first - 2, first + 3))
         self.kept: dict[str, int | None] = {}
 
     def edits(self, word: str) -> int | None:
@@ -129,13 +135,20 @@ class Matcher:
         allowed = (len(word) >= self.options.one_edit) + (len(word) >= self.options.two_edits)
         if not allowed or len(word) > 64 or word in self.genuine:
             return None
-        if not any(i in held.get(word[i : i + n], ()) for n, held in self.parts.items() for i in range(len(word) - n + 1)):
+        if not self.maybe(word, allowed):
             return None
         for edits, term in LevenshteinAutomaton(word, allowed).intersect(self.trie):
             if edits < 2 or len(term) >= self.options.two_edits:
                 return edits
         return None
 
+    def maybe(self, word: str, allowed: int) -> bool:
+        """False only if no term is within the edits: what spares most words the automaton."""
+        # Strings one edit apart agree once each has lost a letter at most.
+        if word in self.less or not self.less.isdisjoint(_shorter(word)):
+            return True
+        return allowed > 1 and any(i in held.get(word[i : i + n], ()) for n, held in self.parts.items() for i in range(len(word) - n + 1))
+
     def features(self, text: str) -> tuple[int, int, int]:
         """Plain exact matches, plain misspelled ones, and quoted or reported ones."""
         low = text.lower()

@@ -184,6 +184,29 @@ def test_automaton_and_trie_equal_edit_distance():
         assert matcher.find(word) == (0 if 0 in near else min(fits, default=None))
 
 
+def test_edits_inside_a_stem_are_matched():
+    options = tox.Lexicon()
+    matcher = tox.Matcher(["loser"], ["lose"], frozenset(), options)
+    assert [matcher.find(w) for w in ("loser", "losers", "looser", "1oser", "lozer", "loper", "lover")] == [0, 0, 1, 1, 1, 1, 1]
+    assert tox.Matcher(["loser"], ["lose"], frozenset(["lover"]), options).find("lover") is None
+    r = random.Random(5)
+    terms = sorted({"".join(r.choice("abcd") for _ in range(r.randint(4, 12))) for _ in range(60)})
+    stems = sorted({t[: r.choice([4, 5, 6])] for t in terms[::2]})
+    matcher, found = tox.Matcher(terms, stems, frozenset(), options), 0
+    for _ in range(800):
+        word = list(r.choice(terms))
+        for _ in range(r.randint(0, 3)):
+            word[r.randrange(len(word))] = r.choice(["", "a", "xd", "b"])
+        word = "".join(word)
+        allowed = (len(word) >= options.one_edit) + (len(word) >= options.two_edits)
+        near = [(edit_distance(word, t), t) for t in terms]
+        fits = [n for n, t in near if n <= allowed and (n < 2 or len(t) >= options.two_edits)]
+        stemmed = word in terms or any(word.startswith(s) for s in stems)
+        assert matcher.find(word) == (0 if stemmed else min(fits, default=None)), word
+        found += not stemmed and bool(fits)
+    assert found > 50
+
+
 def test_toxicity_held_out_misspelled_and_quoted(spark):
     r = random.Random(9)
     plain = ["".join(r.choice("mnopqrst") for _ in range(r.randint(3, 7))) for _ in range(300)]
