@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Word n-grams of test items that few items share are the seeds. One pass over the documents cuts out the passages
-around seeds; each distinct passage is aligned once with each item it shares a seed with, so edited copies score
-by what is left of the item.
+All word n-grams of test items are seeds. One pass over the documents cuts out the passages around seeds; each
+distinct passage is aligned once with each item it shares a seed with, so edited copies score by what is left of the
+item.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from newsflow.session import cut
 
 @dataclass(frozen=True)
 class Alignment:
-    #: Words of a seed. Items with fewer words have no seed and are never found.
+    #: Words of a seed. Items with fewer words have one seed of all their words.
     seed_words: int = 5
-    #: A seed stands in at most so many items, unless the item has no rarer one.
-    seed_items: int = 2
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -34,39 +32,54 @@ class Alignment:
     long_match: int = 40
 
 
+def _unspaced(view: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each character of scripts that put no blanks between words: Thai, Lao, Burmese, Khmer, kana, Han."""
+    lead = np.flatnonzero(view >= 0xE0)
+    a, b = view[lead], view[lead + 1]
+    thai, khmer = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB), (a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F))
+    kana = (a == 0xE3) & (b >= 0x81) & (b <= 0x83)
+    han = ((a == 0xE3) & (b >= 0x90)) | ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xEF) & (b >= 0xA4) & (b <= 0xAB))
+    rare = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    chosen = thai | khmer | kana | han | rare
+    return lead[chosen], lead[chosen] + np.where(rare[chosen], 4, 3)
+
+
 def words_of(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased UTF-8, and start, end and hash of each run of letters, digits and other non-ASCII characters."""
+    """Lower-cased UTF-8, and start, end and hash of each run of letters, digits and other non-ASCII characters.
+
+    A character of a script without blanks is a word of its own.
+    """
     raw = text.lower().encode("utf-8", "surrogatepass")
     view = np.frombuffer(raw, np.uint8)
     starts, ends = word_spans(view, ALNUM)
+    first, end = _unspaced(view)
+    if len(first):
+        # Runs are cut before and after each such character; nothing is lost in between.
+        edges = np.unique(np.concatenate([starts, ends, first, end]))
+        inside = np.searchsorted(starts, edges[:-1], "right") > np.searchsorted(ends, edges[:-1], "right")
+        starts, ends = edges[:-1][inside], edges[1:][inside]
     return raw, starts, ends, word_hashes(view, starts, ends)
 
 
 def seeds_of(items: DataFrame, options: Alignment) -> DataFrame:
-    """(gram, item_id, n_words) of the rare n-grams of each item."""
+    """(gram, item_id, n_words, size) of all n-grams of each item, however many items share one; size is its n."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"gram": [], "item_id": [], "n_words": []}
+            out: dict[str, list] = {"gram": [], "item_id": [], "n_words": [], "size": []}
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)[3]
-                if len(words) < options.seed_words:
-                    continue
                 for g in np.unique(gram_hashes(words, options.seed_words)).view(np.int64).tolist():
                     out["gram"].append(g)
                     out["item_id"].append(item)
                     out["n_words"].append(len(words))
+                    out["size"].append(min(len(words), options.seed_words))
             yield out
 
-    grams = cut(map_batches(items, "gram long, item_id long, n_words int", body))
-    shared = grams.groupBy("gram").agg(F.countDistinct("item_id").alias("items"))
-    counted = grams.join(shared, "gram")
-    least = counted.groupBy("item_id").agg(F.min("items").alias("least"))
-    rare = counted.join(least, "item_id").filter((F.col("items") <= options.seed_items) | (F.col("items") == F.col("least")))
-    return cut(rare.select("gram", "item_id", "n_words").distinct())
+    return cut(map_batches(items, "gram long, item_id long, n_words int, size int", body).distinct())
 
 
-def passages_of(docs: DataFrame, held: np.ndarray, longest: int, options: Alignment) -> DataFrame:
+def passages_of(docs: DataFrame, held: np.ndarray, longest: int, sizes: list[int], options: Alignment) -> DataFrame:
     """Passages around words that may start a seed: an item's longest length and a quarter more on either side."""
     reach = longest + longest // 4 + options.seed_words
     shared = docs.sparkSession.sparkContext.broadcast(held)
@@ -77,15 +90,23 @@ def passages_of(docs: DataFrame, held: np.ndarray, longest: int, options: Alignm
             out: dict[str, list] = {k: [] for k in ("doc_id", "text_id", "first_word", "passage", "passage_id", "grams")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw, starts, ends, words = words_of(text)
-                if len(words) < options.seed_words:
-                    continue
-                grams = gram_hashes(words, options.seed_words)
-                at = np.flatnonzero(in_bitmap(bits, grams))
-                at = at[in_bitmap(bits, mix(grams[at] + U64(1)))]
-                if not len(at):
+                at, found = [], []
+                for n in sizes:
+                    if len(words) < n:
+                        continue
+                    grams = gram_hashes(words, n)
+                    here = np.flatnonzero(in_bitmap(bits, grams))
+                    here = here[in_bitmap(bits, mix(grams[here] + U64(1)))]
+                    at.append(here)
+                    found.append(grams[here])
+                if not sum(map(len, at)):
                     continue
+                at, found = np.concatenate(at), np.concatenate(found)
+                order = np.argsort(at, kind="stable")
+                at, found = at[order], found[order]
                 text_id = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
+                cuts = np.flatnonzero(np.diff(at) > 2 * reach) + 1
+                for part, grams in zip(np.split(at, cuts), np.split(found, cuts), strict=True):
                     first, last = max(0, int(part[0]) - reach), min(len(words), int(part[-1]) + options.seed_words + reach)
                     passage = raw[starts[first] : ends[last - 1]]
                     out["doc_id"].append(doc_id)
@@ -93,7 +114,7 @@ def passages_of(docs: DataFrame, held: np.ndarray, longest: int, options: Alignm
                     out["first_word"].append(first)
                     out["passage"].append(passage.decode("utf-8", "surrogatepass"))
                     out["passage_id"].append(hashlib.blake2b(passage, digest_size=16).digest())
-                    out["grams"].append(np.unique(grams[part]).view(np.int64).tolist())
+                    out["grams"].append(np.unique(grams).view(np.int64).tolist())
             yield out
 
     schema = "doc_id long, text_id string, first_word int, passage string, passage_id binary, grams array<long>"
@@ -135,13 +156,14 @@ def contaminated(docs: DataFrame, items: DataFrame, options: Alignment = Alignme
     """
     items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     seeds = seeds_of(items, options)
-    longest = seeds.agg(F.max("n_words")).first()[0] or 0
+    known = seeds.agg(F.max("n_words").alias("longest"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    longest, sizes = known["longest"] or 0, list(known["sizes"])
     # Two probes per seed in a bitmap of fixed size; what passes it by chance falls out of the join below.
     doubled = map_batches(
         seeds.select("gram"), "gram long",
         lambda batches: ({"gram": np.concatenate([g := b.column(0).to_numpy(), mix(g.view(U64) + U64(1)).view(np.int64)])} for b in batches),
     )
-    passages = passages_of(docs, bitmap(doubled, F.col("gram")), longest, options)
+    passages = passages_of(docs, bitmap(doubled, F.col("gram")), longest, sizes, options)
     keyed = passages.select("passage_id", F.explode("grams").alias("gram")).distinct()
     pairs = keyed.join(seeds, "gram").select("passage_id", "item_id").distinct()
     unique = passages.groupBy("passage_id").agg(F.first("passage").alias("passage"))
@@ -153,10 +175,14 @@ def contaminated(docs: DataFrame, items: DataFrame, options: Alignment = Alignme
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("passage_id", "item_id", "points", "score", "first", "end")}
             for passage_id, item_id, passage, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = words_of(item)[3]
-                points, first, end = smith_waterman(own, words_of(passage)[3], options)
+                own, other = words_of(item)[3], words_of(passage)[3]
                 full = options.match * len(own)
-                if full and (points >= options.floor * full or points >= options.match * options.long_match):
+                least = min(options.floor * full, options.match * options.long_match)
+                # No alignment has more matches than the item has words that the passage has too.
+                if not full or options.match * np.isin(own, other).sum() < least:
+                    continue
+                points, first, end = smith_waterman(own, other, options)
+                if points >= least:
                     for k, v in zip(out, (passage_id, item_id, points, points / full, first, end), strict=True):
                         out[k].append(v)
             yield out

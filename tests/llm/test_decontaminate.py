@@ -77,6 +77,25 @@ def test_filter_keeps_clean_rows_and_columns(spark):
     assert sorted(map(str, [(x["doc_id"], x["text"]) for x in kept.collect()])) == sorted(map(str, clean)) and kept.columns == docs.columns
 
 
+def test_shared_passage_short_items_and_scripts_without_blanks(spark):
+    r = random.Random(3)
+    passage, tails = words(r, 30), [words(r, 10) for _ in range(4)]
+    items = [(i, " ".join(passage + t)) for i, t in enumerate(tails)] + [(10, "Very odd item"), (11, "漢字かな交じり文の問題です"), (12, "ภาษาไทย"), (13, None)]
+    clean = " ".join(words(r, 60))
+    rows = [(1, f"{clean} {' '.join(passage)} {clean}"), (2, f"{clean}, very odd ITEM."), (3, f"前文、漢字かな交じり文の問題です。{clean}"), (4, f"นี่คือภาษาไทยครับ {clean}"), (5, clean), (6, "very odd"), (7, "漢字")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in d.contaminated(docs, bench).collect()}
+    assert got == {**{(1, i): 0.75 for i in range(4)}, (2, 10): 1.0, (3, 11): 1.0, (4, 12): 1.0}
+    assert sorted(x["doc_id"] for x in d.decontaminated(docs, bench).collect()) == [5, 6, 7]
+
+
+def test_words_of_scripts_without_blanks():
+    cut = lambda text: [w.decode() for raw, a, b, _ in [d.words_of(text)] for w in (raw[i:j] for i, j in zip(a, b))]
+    assert cut("Abc漢字é1 カナx,ไทย 𠀀y é") == ["abc", "漢", "字", "é1", "カ", "ナ", "x", "ไ", "ท", "ย", "𠀀", "y", "é"]
+    assert cut("") == cut(" -") == [] and cut("文") == ["文"] and cut("한국 Привет") == ["한국", "привет"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
