@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import chat, decontaminate, language_id, near_dup, packing, quality, secrets, sharding, suffix_dedup, toxicity
+from newsflow.llm import (
+    chat, decontaminate, divergence, language_id, near_dup, one_bit_search, packing, prefix_trie, quality, secrets, sharding, suffix_dedup,
+    toxicity,
+)
 from newsflow.llm.common import table
 from newsflow.session import prepare
 
@@ -62,11 +65,23 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.directory(table(prepare(spark), folder, "documents"), SHARD_BYTES)
 
 
+def op11_one_bit_search(spark: SparkSession, folder: str) -> DataFrame:
+    return one_bit_search.nearest(table(prepare(spark), folder, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(prepare(spark), folder, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(prepare(spark), folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_best_fit_packing, op3_decontamination, op4_language_id, op5_near_duplicates, op6_suffix_dedup,
-        op7_chat_format, op8_quality_rules, op9_toxicity, op10_sharding,
+        op7_chat_format, op8_quality_rules, op9_toxicity, op10_sharding, op11_one_bit_search, op12_source_divergence, op13_prefix_trie,
     )
 }
 
@@ -102,4 +117,83 @@ SQL: dict[str, str] = {
         SELECT doc_id, n_bytes, shard, CAST(depth AS INT) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {SHARD_BYTES} AS oversized
         FROM first WHERE n = 1
     """,
+    # Every pair of a query and a candidate; the operator reranks so widely that it finds the same.
+    "op11_one_bit_search": r"""
+        WITH rows AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            GROUP BY vec_id
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.v, p.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(p.v, p.v))) AS score
+            FROM rows q JOIN rows p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+        )
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs
+        ) WHERE rank <= 5
+    """,
+    "op12_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), said AS (
+            SELECT lang, source, term, n, count(*) AS c FROM (SELECT lang, source, n, unnest(words) AS term FROM docs) GROUP BY ALL
+        ), kept AS (
+            SELECT lang, term, sum(c)::HUGEINT AS lang_n FROM said GROUP BY lang, term HAVING count(*) >= 3
+        ), langs AS (
+            SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS lang_total FROM kept GROUP BY lang
+        ), groups AS (
+            SELECT DISTINCT lang, source FROM docs
+        ), counts AS (
+            SELECT lang, source, term, sum(c)::HUGEINT AS c FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL
+        ), totals AS (
+            SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL
+        ), shares AS (
+            SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (total + v) AS p,
+                1 + 1000000000::HUGEINT * (lang_n + 1) // (lang_total + v) AS q
+            FROM totals JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        ), pair_values AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), both_parts AS (
+            SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN pair_values USING (lang, source, item)
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE c > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM both_parts
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
+    "op13_prefix_trie": r"""
+        WITH told AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS said
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), lists AS (
+            SELECT conv_id, list(said ORDER BY pos) AS turns, conv_id - conv_id % 100 AS base,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+                    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
+            FROM told GROUP BY conv_id
+        ), rebuilt AS (
+            SELECT l.conv_id, list_concat(coalesce(b.turns[1:l.h], []), l.turns[l.h + 1:]) AS turns FROM lists l LEFT JOIN lists b ON b.conv_id = l.base
+        ), prefixes AS (
+            SELECT conv_id, d AS depth, turns[1:d] AS node, CASE WHEN d = 0 THEN 0 ELSE length(turns[d].text) END AS chars, d = len(turns) AS final
+            FROM rebuilt, unnest(range(0, len(turns) + 1)) AS t(d)
+        ), nodes AS (
+            SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (final), '')) AS ends_sha256
+            FROM prefixes GROUP BY depth, node
+        ), children AS (
+            SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+        ), known AS (
+            SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.depth = c.depth AND n.node = c.node
+        ), sums AS (
+            SELECT d AS depth, node[1:d] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+            FROM known, unnest(range(0, depth + 1)) AS t(d) GROUP BY ALL
+        )
+        SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+        FROM known k JOIN sums s ON k.depth = s.depth AND k.node = s.node LEFT JOIN nodes p ON p.depth = k.depth - 1 AND p.node = k.node[1:k.depth - 1]
+    """,
 }
