@@ -444,7 +444,7 @@ def _(v):
 
 def _judged(v: Views) -> DataFrame:
     rules = evidence.identity_verdict(
-        v.candidates, v.hub_tokens.select("event_id", "token"), v.hub_tokens, evidence.doc_freq(v.tokens),
+        v.reports, v.hub_tokens.select("event_id", "token"), v.hub_tokens, evidence.doc_freq(v.tokens),
         P.hub_events, P.pair_events_max, P.overlap_floor,
     )
     return evidence.verdict_join(rules, v.verdicts, WEIGHTS)
@@ -542,12 +542,12 @@ def _(v):
     SELECT p.token_a, p.token_b, count(b.event_id) AS score FROM (
       SELECT DISTINCT least(a, b) AS token_a, greatest(a, b) AS token_b FROM (
         SELECT t[i] AS a, t[i + 1] AS b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (
-          SELECT regexp_extract_all(lower(title), '[a-z'']+') AS t FROM articles)))
+          SELECT regexp_extract_all(lower(title || chr(10) || description), '[a-z'']+') AS t FROM articles)))
       WHERE a <> b) p
     JOIN hub_score x ON x.token = p.token_a JOIN hub_score y ON y.token = p.token_b
     JOIN hub a ON a.token = p.token_a LEFT JOIN hub b ON b.token = p.token_b AND b.event_id = a.event_id GROUP BY 1, 2""")
 def _(v):
-    words = F.regexp_extract_all(F.lower("title"), F.lit("[a-z']+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text_fn.compare_text(F.col("title"), F.col("description"))), F.lit("[a-z']+"), F.lit(0))
     following = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w")).alias("b"))
     asked = v.articles.select(words.alias("w")).filter(F.size("w") > 1).select(F.explode(following).alias("p")).select(
         F.col("p.a").alias("token_a"), F.col("p.b").alias("token_b")

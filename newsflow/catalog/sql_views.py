@@ -109,7 +109,7 @@ VIEWS = {
           WHERE pos + n_words <= len(w)) SEMI JOIN patterns USING (pattern)""",
     "ents": f"""
         SELECT * FROM (SELECT article_id, batch_id, 'ev' || (article_id // 10) AS event_id, description,
-          unnest({_TOKENS.format("title")}) AS token FROM articles)
+          unnest({_TOKENS.format("title || chr(10) || description")}) AS token FROM articles)
         WHERE length(token) > 1 AND token NOT IN ({STOP})""",
     "event_tokens": """
         SELECT event_id, token, count(*) AS df, bool_or(article_id % 10 = 0) AS is_seed FROM ents GROUP BY 1, 2""",
@@ -119,7 +119,8 @@ VIEWS = {
         SELECT 'ev' || (article_id // 10) AS event_id, arg_max(title || chr(10) || description, article_id) AS representative_text
         FROM articles GROUP BY 1""",
     "candidates": f"""
-        SELECT a.batch_id, a.article_id AS cluster_id, e.event_id, r.rank, CAST(1.0 - r.rank * 0.125 AS DOUBLE) AS cosine, a.description,
+        SELECT a.batch_id, a.article_id AS cluster_id, e.event_id, r.rank, CAST(1.0 - r.rank * 0.125 AS DOUBLE) AS cosine,
+          a.article_id % 11 = 5 AS unread, a.article_id % 22 <> 5 AS has_texts,
           {_TOKENS.format("a.title || chr(10) || a.description")} AS tokens_a,
           {_TOKENS.format("e.representative_text")} AS tokens_b
         FROM articles a, (SELECT unnest([1, 2]) AS rank) r, event_texts e WHERE e.event_id = 'ev' || (a.article_id // 10 - r.rank)""",
@@ -132,25 +133,26 @@ VIEWS = {
         GROUP BY 1, 2""",
     "shared": """
         SELECT c.cluster_id, c.event_id, e.token, s.score FROM candidates c
-        JOIN ents e ON e.article_id = c.cluster_id AND c.description <> ''
+        JOIN ents e ON e.article_id = c.cluster_id AND NOT c.unread
         JOIN hub h ON h.event_id = c.event_id AND h.token = e.token LEFT JOIN hub_score s ON s.token = e.token""",
+    "hubs_only": "SELECT * FROM shared x WHERE NOT EXISTS (SELECT 1 FROM shared y WHERE y.cluster_id = x.cluster_id AND y.event_id = x.event_id AND y.score < 2)",
     "rule": """
         SELECT c.cluster_id, c.event_id, c.rank, c.cosine,
-          CASE WHEN c.description = '' OR NOT EXISTS (SELECT 1 FROM ents e WHERE e.article_id = c.cluster_id)
-               THEN CASE WHEN o.overlap >= 0.15 THEN 'COMPATIBLE' ELSE 'AMBIGUOUS' END
+          CASE WHEN c.unread OR NOT EXISTS (SELECT 1 FROM ents e WHERE e.article_id = c.cluster_id)
+               THEN CASE WHEN NOT c.has_texts THEN 'FAIL_OPEN' WHEN o.overlap >= 0.15 THEN 'COMPATIBLE' ELSE 'AMBIGUOUS' END
                WHEN NOT EXISTS (SELECT 1 FROM hub h WHERE h.event_id = c.event_id) THEN 'COMPATIBLE'
                WHEN s.n IS NULL THEN 'NO_OVERLAP' WHEN s.rare THEN 'COMPATIBLE' WHEN p.n IS NOT NULL THEN 'COMPATIBLE'
                ELSE 'AMBIGUOUS' END AS rule_verdict
         FROM candidates c LEFT JOIN overlap o USING (cluster_id, event_id)
         LEFT JOIN (SELECT cluster_id, event_id, count(*) AS n, bool_or(score < 2) AS rare FROM shared GROUP BY 1, 2) s
           USING (cluster_id, event_id)
-        LEFT JOIN (SELECT x.cluster_id, x.event_id, count(*) AS n FROM shared x
-            JOIN shared y ON x.cluster_id = y.cluster_id AND x.event_id = y.event_id AND x.token < y.token
+        LEFT JOIN (SELECT x.cluster_id, x.event_id, count(*) AS n FROM hubs_only x
+            JOIN hubs_only y ON x.cluster_id = y.cluster_id AND x.event_id = y.event_id AND x.token < y.token
             JOIN pair_score k ON k.token_a = x.token AND k.token_b = y.token WHERE k.score <= 1 GROUP BY 1, 2) p
           USING (cluster_id, event_id)""",
     "pair_score": """
         SELECT p.token_a, p.token_b, count(*) AS score
-        FROM (SELECT DISTINCT x.token AS token_a, y.token AS token_b FROM shared x JOIN shared y
+        FROM (SELECT DISTINCT x.token AS token_a, y.token AS token_b FROM hubs_only x JOIN hubs_only y
               ON x.cluster_id = y.cluster_id AND x.event_id = y.event_id AND x.token < y.token) p
         JOIN hub a ON a.token = p.token_a JOIN hub b ON b.token = p.token_b AND b.event_id = a.event_id GROUP BY 1, 2""",
     "judged": """

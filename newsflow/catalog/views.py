@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.functions.text import word_tokens
+from newsflow.functions.text import compare_text, word_tokens
 from newsflow.functions.urls import url_hash
 from newsflow.operators import entities
 from newsflow.session import prepare
@@ -175,8 +175,9 @@ class Views:
 
     @cached_property
     def article_entities(self) -> DataFrame:
-        """Identity tokens of an article: the words of its title, stop words left out."""
-        keep = F.filter(word_tokens(F.col("title")), lambda t: (F.length(t) > 1) & ~t.isin(*entities.STOPWORDS))
+        """Identity tokens of an article: the words of its whole text, stop words left out."""
+        words = word_tokens(compare_text(F.col("title"), F.col("description")))
+        keep = F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(*entities.STOPWORDS))
         return self.spread_articles.select(
             "article_id", "seq", "batch_id", "title", "description",
             text_of("ev", F.expr("article_id DIV 10")).alias("event_id"), keep.alias("entities"),
@@ -199,26 +200,41 @@ class Views:
             F.max_by(F.concat_ws("\n", "title", "description"), "article_id").alias("representative_text")
         )
 
-    @cached_property
-    def candidates(self) -> DataFrame:
-        """Each article against the two events before its own; articles without a description have no tokens."""
-        from newsflow.operators.evidence import doc_count
+    @property
+    def _asked(self) -> DataFrame:
+        """Each article against the two events before its own, with the texts of both.
 
+        Every eleventh article is one whose tokens could not be read; half of these have no text to compare either.
+        """
         # The text travels through the joins; its token array is several times larger.
+        d = F.col("article_id")
         rows = self.article_entities.select(
-            F.col("article_id").alias("cluster_id"), "batch_id",
-            F.when(F.col("description") == "", F.array().cast("array<string>")).otherwise(F.col("entities")).alias("new_tokens"),
-            F.concat_ws("\n", "title", "description").alias("text"),
-            F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"),
+            d.alias("cluster_id"), "batch_id", (d % 11 == 5).alias("unread"), (d % 22 != 5).alias("has_texts"), "entities",
+            compare_text(F.col("title"), F.col("description")).alias("text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"),
         ).withColumn("event_id", F.concat(F.lit("ev"), (F.expr("cluster_id DIV 10") - F.col("rank")).cast("string")))
-        return (
-            rows.join(self.event_texts, "event_id").join(doc_count(self.tokens), "batch_id")
-            .select(
-                "batch_id", "cluster_id", "event_id", "rank", (1.0 - F.col("rank") * 0.125).cast("double").alias("cosine"),
-                "new_tokens", word_tokens(F.col("text")).alias("tokens_a"),
-                word_tokens(F.col("representative_text")).alias("tokens_b"),
-                F.lit(True).alias("has_texts"), "n_docs",
-            )
+        return rows.join(self.event_texts, "event_id").withColumn("cosine", (1.0 - F.col("rank") * 0.125).cast("double"))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """All pairs of report and event with the words of both."""
+        from newsflow.operators.evidence import doc_count
+
+        return self._asked.join(doc_count(self.tokens), "batch_id").select(
+            "batch_id", "cluster_id", "event_id", word_tokens(F.col("text")).alias("tokens_a"),
+            word_tokens(F.col("representative_text")).alias("tokens_b"), "n_docs",
+        )
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        """The pairs as the identity rules read them: words of both only where the report has no tokens."""
+        from newsflow.operators.evidence import doc_count
+
+        none = F.array().cast("array<string>")
+        compared = (F.col("unread") | (F.size("entities") == 0)) & F.col("has_texts")
+        return self._asked.join(doc_count(self.tokens), "batch_id").select(
+            "batch_id", "cluster_id", "event_id", "rank", "cosine", F.when(F.col("unread"), none).otherwise(F.col("entities")).alias("new_tokens"),
+            F.when(compared, word_tokens(F.col("text"))).otherwise(none).alias("tokens_a"),
+            F.when(compared, word_tokens(F.col("representative_text"))).otherwise(none).alias("tokens_b"), "has_texts", "n_docs",
         )
 
     @cached_property
