@@ -14,9 +14,10 @@ from newsflow.functions import language as lang_fn
 from newsflow.functions import text as text_fn
 from newsflow.functions.urls import host, host_suffixes, normalized_url, url_hash
 from newsflow.functions.vectors import cosine
-from newsflow.operators import clustering, dedup, entities, evidence, heat, language, pages, select, simjoin, state
+from newsflow.operators import clustering, dedup, entities, evidence, heat, language, pages, scanjoin, select, simjoin, state
 from newsflow.params import Params
 from newsflow.plans import ingest
+from newsflow.session import fresh_path
 from newsflow.sources import feeds, tables
 
 # The derived vectors are less alike than real articles: lower floors and shorter windows.
@@ -392,6 +393,20 @@ def _(v):
     return top.select(F.col("query_id").alias("article_id"), "event_id", F.round("cosine", 6).alias("cosine"), long("rank").alias("rank"))
 
 
+@query("event_topk_cells", """
+    SELECT article_id, point_id, round(cosine, 6) AS cosine, rank FROM (
+      SELECT a.article_id, b.article_id AS point_id, list_cosine_similarity(a.embedding, b.embedding) AS cosine,
+        row_number() OVER (PARTITION BY a.article_id ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.article_id) AS rank
+      FROM vectors a JOIN vectors b ON a.article_id % 10 = 0) WHERE rank <= 4 AND cosine >= 0.25""")
+def _(v):
+    """Every tenth vector of a collection stored in cells against all of it."""
+    path = fresh_path(v.spark, "cells")
+    rows = v.vectors.select(F.col("article_id").alias("id"), F.col("embedding").alias("vec"))
+    scanjoin.write_cells(rows, path)
+    near = scanjoin.nearest_stored(v.spark, path, rows.filter("id % 10 = 0"), 4, TOP_FLOOR)
+    return near.select(F.col("query_id").alias("article_id"), "point_id", F.round("cosine", 6).alias("cosine"), long("rank").alias("rank"))
+
+
 def _top1(v: Views) -> DataFrame:
     best = simjoin.best_recent(v.vectors, v.points, TOP_FLOOR, "last_updated_at", "as_of", P.event_hours)
     return best.join(v.points.select("point_id", "event_id"), "point_id").select(

@@ -121,7 +121,7 @@ VIEWS = {
     "candidates": f"""
         SELECT a.batch_id, a.article_id AS cluster_id, e.event_id, r.rank, CAST(1.0 - r.rank * 0.125 AS DOUBLE) AS cosine,
           a.article_id % 11 = 5 AS unread, a.article_id % 22 <> 5 AS has_texts,
-          {_TOKENS.format("a.title || chr(10) || a.description")} AS tokens_a,
+          {_TOKENS.format("CASE WHEN a.article_id % 33 = 27 THEN e.representative_text || chr(10) || a.title ELSE a.title || chr(10) || a.description END")} AS tokens_a,
           {_TOKENS.format("e.representative_text")} AS tokens_b
         FROM articles a, (SELECT unnest([1, 2]) AS rank) r, event_texts e WHERE e.event_id = 'ev' || (a.article_id // 10 - r.rank)""",
     "overlap": """

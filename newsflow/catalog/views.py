@@ -204,15 +204,20 @@ class Views:
     def _asked(self) -> DataFrame:
         """Each article against the two events before its own, with the texts of both.
 
-        Every eleventh article is one whose tokens could not be read; half of these have no text to compare either.
+        Every eleventh article is one whose tokens could not be read; half of these have no text to compare either,
+        a third quote the event's text before their title.
         """
         # The text travels through the joins; its token array is several times larger.
         d = F.col("article_id")
         rows = self.article_entities.select(
-            d.alias("cluster_id"), "batch_id", (d % 11 == 5).alias("unread"), (d % 22 != 5).alias("has_texts"), "entities",
+            d.alias("cluster_id"), "batch_id", (d % 11 == 5).alias("unread"), (d % 22 != 5).alias("has_texts"), "entities", "title",
             compare_text(F.col("title"), F.col("description")).alias("text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"),
         ).withColumn("event_id", F.concat(F.lit("ev"), (F.expr("cluster_id DIV 10") - F.col("rank")).cast("string")))
-        return rows.join(self.event_texts, "event_id").withColumn("cosine", (1.0 - F.col("rank") * 0.125).cast("double"))
+        quoting = F.col("unread") & (F.col("cluster_id") % 3 == 0)
+        return rows.join(self.event_texts, "event_id").withColumns({
+            "text": F.when(quoting, F.concat_ws("\n", "representative_text", "title")).otherwise(F.col("text")),
+            "cosine": (1.0 - F.col("rank") * 0.125).cast("double"),
+        })
 
     @cached_property
     def candidates(self) -> DataFrame:

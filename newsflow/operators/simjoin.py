@@ -289,58 +289,57 @@ def having_match(
     return found.select(*keys, F.col("query_id").alias(ID)).distinct()
 
 
-def _window(queries: DataFrame, points: DataFrame, query_id, point_id, at, as_of, hours, keys):
-    """Restrict to points with as_of - hours <= at; both sides bucketed when each query has its own as_of.
+def _nearest_in_window(queries, points, k, floor, query_id, point_id, at, as_of, hours, block_rows) -> DataFrame:
+    """(query_id, point_id, cosine, rank) of the k nearest points with as_of - hours <= at.
 
-    A constant `as_of` is a plain filter that reaches the scan. A column `as_of` (replays over many
-    cycles) also bounds the window above, and both sides get buckets as wide as the window, so a point
-    only meets the one or two buckets of queries that can see it.
+    A constant `as_of` is a plain filter that reaches the scan. A column `as_of` (replays over many cycles) also bounds
+    the window above, per query. Queries that may travel go to the points; a larger set meets them in a grid of blocks.
     """
-    if not isinstance(as_of, str):
+    from newsflow.operators import scanjoin
+
+    if timed := isinstance(as_of, str):
+        width, hi = int(hours * 3600) * 1_000_000, F.unix_micros(F.col(as_of))
+        q = _vectors(queries, query_id, [], (hi - width).alias(LO), hi.alias(HI))
+        p = _vectors(points, point_id, [], F.unix_micros(at).alias(AT))
+    else:
         now = as_of if isinstance(as_of, Column) else F.lit(as_of)
-        points = points.filter(F.col(at) >= now - F.expr(f"INTERVAL {int(hours * 3600)} SECOND"))
-        return _vectors(queries, query_id, keys), _vectors(points, point_id, keys), keys, False
-    width = int(hours * 3600) * 1_000_000
-    hi = F.unix_micros(F.col(as_of))
-    q = _vectors(queries, query_id, keys, (hi - width).alias(LO), hi.alias(HI)).withColumn(
-        "bucket", F.explode(F.sequence(F.floor(F.col(LO) / width), F.floor((F.col(HI) - 1) / width)))
+        q = _vectors(queries, query_id, [])
+        p = _vectors(points.filter(F.col(at) >= now - F.expr(f"INTERVAL {int(hours * 3600)} SECOND")), point_id, [])
+    if scanjoin.within_reach(q):
+        return scanjoin.nearest(q, p, k, floor, timed)
+    keys = []
+    if timed:
+        # Buckets as wide as the window: a point meets the one or two buckets of queries that can see it.
+        keys = ["bucket"]
+        q = q.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(LO) / width), F.floor((F.col(HI) - 1) / width))))
+        p = p.withColumn("bucket", F.floor(F.col(AT) / width))
+    found = between(q, p, _nearest(k), floor, keys, block_rows, timed=timed)
+    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), F.col("point_id"))
+    return (
+        found.select("query_id", "point_id", "cosine")
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
     )
-    p = _vectors(points, point_id, keys, F.unix_micros(at).alias(AT)).withColumn("bucket", F.floor(F.col(AT) / width))
-    return q, p, [*keys, "bucket"], True
 
 
 def best_recent(
     queries: DataFrame, points: DataFrame, floor: float, at: str, as_of, hours: float,
-    query_id: str = "article_id", point_id: str = "point_id", keys: list[str] = (), block_rows: int = 2048,
+    query_id: str = "article_id", point_id: str = "point_id", block_rows: int = 2048,
 ) -> DataFrame:
     """Per query its most similar point in the look-back window, if it reaches the floor.
 
     Returns `query_id, point_id, cosine`, one row per matched query; ties go to the lowest point id.
     """
-    keys = list(keys)
-    q, p, join_keys, timed = _window(queries, points, query_id, point_id, at, as_of, hours, keys)
-    found = between(q, p, _best, floor, join_keys, block_rows, timed=timed)
-    return found.groupBy(*keys, "query_id").agg(
-        F.min_by("point_id", F.struct(-F.col("cosine"), F.col("point_id"))).alias("point_id"),
-        F.max("cosine").alias("cosine"),
-    )
+    return _nearest_in_window(queries, points, 1, floor, query_id, point_id, at, as_of, hours, block_rows).drop("rank")
 
 
 def nearest_points(
     queries: DataFrame, points: DataFrame, k: int, floor: float, at: str, as_of, hours: float,
-    query_id: str = "article_id", point_id: str = "point_id", keys: list[str] = (), block_rows: int = 2048,
+    query_id: str = "article_id", point_id: str = "point_id", block_rows: int = 2048,
 ) -> DataFrame:
     """The k nearest points of each query in the window, of which those that reach the floor.
 
     Points below the floor sort after all points above it, so applying the floor first cannot change
     which of the k nearest remain.
     """
-    keys = list(keys)
-    q, p, join_keys, timed = _window(queries, points, query_id, point_id, at, as_of, hours, keys)
-    found = between(q, p, _nearest(k), floor, join_keys, block_rows, timed=timed)
-    order = Window.partitionBy(*keys, "query_id").orderBy(F.col("cosine").desc(), F.col("point_id"))
-    return (
-        found.select(*keys, "query_id", "point_id", "cosine")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-    )
+    return _nearest_in_window(queries, points, k, floor, query_id, point_id, at, as_of, hours, block_rows)
