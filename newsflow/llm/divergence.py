@@ -8,13 +8,12 @@ All arithmetic is on integers.
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,66 +30,65 @@ class Cube:
     #: Sources in a group block and terms in a term block, about: blocks are dealt by hash.
     group_block: int = 64
     term_block: int = 8192
-    #: Different terms that a counting task holds before it hands them on.
-    held_terms: int = 400_000
-    #: Characters of a text that are split at a time.
-    piece: int = 1 << 20
+    #: Bytes of texts that a counting task takes at a time; a longer text is taken alone.
+    batch_bytes: int = 3 << 20
+    #: Counts that it holds before it adds them up.
+    held_terms: int = 1_000_000
 
 
 #: Parts of the unit that a probability is counted in.
 UNIT = 1_000_000_000
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+#: What stands between terms.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def terms_of(text: str, piece: int = 1 << 20) -> Iterator[list[str]]:
-    """The lower-cased terms of a text, in runs of about `piece` characters."""
-    text = text.translate(_LOWER)
-    at = 0
-    while at < len(text):
-        end = at + piece
-        while end < len(text) and TERM.match(text[end]):
-            end += 1
-        yield TERM.findall(text[at:end])
-        at = end
+def batch_counts(rows: pa.Table) -> pa.Table:
+    """(lang, source, term, n, n_docs) of some rows of (lang, source, text): occurrences and documents of each term."""
+    words = pc.split_pattern_regex(pc.ascii_lower(rows.column("text").combine_chunks()), BETWEEN)
+    document = pc.list_parent_indices(words)
+    said = pa.table({"document": document, "term": pc.list_flatten(words)})
+    said = said.filter(pc.not_equal(said.column("term"), ""))
+    by_document = said.group_by(["document", "term"], use_threads=False).aggregate([([], "count_all")])
+    at = by_document.column("document")
+    spread = pa.table({
+        "lang": rows.column("lang").take(at), "source": rows.column("source").take(at), "term": by_document.column("term"), "n": by_document.column("count_all"),
+    })
+    return added_up(spread.append_column("n_docs", pa.repeat(pa.scalar(1, pa.int64()), len(at))))
+
+
+def added_up(counts: pa.Table) -> pa.Table:
+    out = counts.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("n_docs", "sum")])
+    return out.select(["lang", "source", "term", "n_sum", "n_docs_sum"]).rename_columns(["lang", "source", "term", "n", "n_docs"])
 
 
 def term_counts(docs: DataFrame, options: Cube) -> DataFrame:
     """(lang, source, term, n, n_docs): occurrences and documents of each term, added up within a task first."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: dict[tuple[str, str], dict[str, list[int]]] = {}
-        size = 0
-
-        def handed() -> dict:
-            out: dict[str, list] = {"lang": [], "source": [], "term": [], "n": [], "n_docs": []}
-            for (lang, source), counts in held.items():
-                out["lang"] += [lang] * len(counts)
-                out["source"] += [source] * len(counts)
-                out["term"] += counts
-                out["n"] += [c[0] for c in counts.values()]
-                out["n_docs"] += [c[1] for c in counts.values()]
-            held.clear()
-            return out
+        held: list[pa.Table] = []
+
+        def handed(limit: int) -> Iterator[dict]:
+            """Add up what is held; hand it on if it stays over the limit."""
+            total = added_up(pa.concat_tables(held))
+            held[:] = [total] if len(total) <= limit else []
+            if not held:
+                for part in total.to_batches():
+                    yield dict(zip(part.schema.names, part.columns, strict=True))
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                mine = held.setdefault((lang, source), {})
-                size -= len(mine)
-                counts: dict[str, int] = defaultdict(int)
-                for words in terms_of(text, options.piece):
-                    for word in words:
-                        counts[word] += 1
-                for word, n in counts.items():
-                    c = mine.setdefault(word, [0, 0])
-                    c[0] += n
-                    c[1] += 1
-                size += len(mine)
-                if size > options.held_terms:
-                    size = 0
-                    yield handed()
+            rows, at = pa.Table.from_batches([batch]), 0
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+            while at < len(sizes):
+                # As many rows as have the bytes that a task takes at a time, at least one.
+                before = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, before + options.batch_bytes, "right")))
+                held.append(batch_counts(rows.slice(at, end - at)))
+                if sum(map(len, held)) > options.held_terms:
+                    yield from handed(options.held_terms // 2)
+                at = end
         if held:
-            yield handed()
+            yield from handed(-1)
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     found = map_batches(rows, "lang string, source string, term string, n long, n_docs long", body)
@@ -98,10 +96,12 @@ def term_counts(docs: DataFrame, options: Cube) -> DataFrame:
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """p = 1 + floor(UNIT * (count + 1) / (total + terms)), in decimals that hold any count exactly."""
+    """p = 1 + floor(UNIT * (count + 1) / (total + terms)); counts too large for a long go through decimals."""
     wide = lambda c: c.cast("decimal(27,0)")
-    up, down = (wide(count) + 1).cast("decimal(27,0)") * F.lit(UNIT).cast("decimal(10,0)"), (wide(total) + wide(terms)).cast("decimal(28,0)")
-    return F.lit(1).cast("long") + F.call_function("div", up, down).cast("long")
+    divided = lambda up, down: F.call_function("div", up, down).cast("long")
+    small = divided((count.cast("long") + 1) * F.lit(UNIT).cast("long"), total.cast("long") + terms)
+    large = divided((wide(count) + 1).cast("decimal(27,0)") * F.lit(UNIT).cast("decimal(10,0)"), (wide(total) + wide(terms)).cast("decimal(28,0)"))
+    return F.lit(1).cast("long") + F.when((count < 9_000_000_000) & (total < 1 << 62), small).otherwise(large)
 
 
 @dataclass(frozen=True)

@@ -45,7 +45,7 @@ def test_equals_its_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("cube", [Cube(), Cube(terms=4, group_block=2, term_block=3, held_terms=5, piece=7), Cube(least_documents=1, group_block=3)])
+@pytest.mark.parametrize("cube", [Cube(), Cube(terms=4, group_block=2, term_block=3, batch_bytes=90, held_terms=50), Cube(least_documents=1, group_block=3)])
 def test_equals_brute_force_on_odd_rows(spark, cube):
     rng = random.Random(2)
     words = [f"w{chr(97 + i)}" for i in range(25)] + ["É", "é", "ÄB", "漢字", "😀x", "Z", "z"]
