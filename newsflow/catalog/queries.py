@@ -362,17 +362,27 @@ def _(v):
     return dedup.url_dedup(keyed, _claims(v), v.latest, P.url_ttl_seconds).select("article_id", "url_hash")
 
 
-@query("url_claim_replay", """
+CLAIMS_SQL = """
     WITH RECURSIVE chain AS (
       SELECT user_id, min(epoch_us(ts)) AS t FROM events GROUP BY 1
       UNION ALL SELECT c.user_id, min(epoch_us(e.ts)) FROM chain c JOIN events e
         ON e.user_id = c.user_id AND epoch_us(e.ts) >= c.t + 86400000000 GROUP BY c.user_id, c.t)
-    SELECT user_id, t AS claimed_us FROM chain""")
+    SELECT user_id, t AS claimed_us FROM chain"""
+
+
+@query("url_claim_replay", CLAIMS_SQL)
 def _(v):
     claims = dedup.claim_times(v.table("events"), "user_id", "ts", 86_400)
     return claims.select("user_id", F.unix_micros("claimed_at").alias("claimed_us"))
 
 
+@query("url_claim_replay_hot", CLAIMS_SQL)
+def _(v):
+    """Every key with more than 40 times as a hot one, over slices of time."""
+    claims = dedup.claim_times(v.table("events"), "user_id", "ts", 86_400, hot_times=40)
+    return claims.select("user_id", F.unix_micros("claimed_at").alias("claimed_us"))
+
+
 @query("cross_cycle_dedup", """
     SELECT a.article_id, round(coalesce(max(r.cosine), 0), 6) AS history_cosine, coalesce(max(r.cosine), 0) < 0.40 AS is_new
     FROM vectors a LEFT JOIN recent r USING (article_id) GROUP BY 1""")
@@ -505,6 +515,12 @@ def _(v):
     return clustering.greedy_clusters(v.vectors, P.duplicate_floor, P.related_floor)
 
 
+@query("greedy_clusters_joins", GREEDY_SQL + "SELECT batch_id, seq, cluster_seq, role FROM greedy WHERE role IS NOT NULL")
+def _(v):
+    """Every batch by joins, as batches of more than a block are."""
+    return clustering.greedy_clusters(v.vectors, P.duplicate_floor, P.related_floor, block_rows=32)
+
+
 @query("similarity_components", """
     WITH RECURSIVE edges AS (SELECT earlier AS a, later AS b FROM batch_pairs WHERE cosine >= 0.35
         UNION ALL SELECT later, earlier FROM batch_pairs WHERE cosine >= 0.35),

@@ -75,6 +75,14 @@ def _any(sim, mask, q, p):
     return i, j[i]
 
 
+def _counted(sim, mask, q, p):
+    """Per query row with a match one point, and how many match in place of the cosine."""
+    many = mask.sum(axis=1)
+    i = np.nonzero(many)[0]
+    sim[i, 0] = many[i]
+    return i, np.zeros(len(i), int)
+
+
 def _spanning(sim, mask, q, p):
     """Enough edges to keep the connected components of the block pair, at most one per row added."""
     ids = {}
@@ -282,6 +290,12 @@ def having_earlier(rows: DataFrame, floor: float, keys: list[str], block_rows: i
     return within(rows, _any, floor, keys, block_rows).select(*keys, F.col("query_id").alias(ID)).distinct()
 
 
+def earlier_counts(rows: DataFrame, floor: float, keys: list[str], block_rows: int) -> DataFrame:
+    """(keys, id, n) of rows with similar earlier rows, and how many they are."""
+    found = within(rows, _counted, floor, keys, block_rows)
+    return found.groupBy(*keys, F.col("query_id").alias(ID)).agg(F.sum("cosine").cast("bigint").alias("n"))
+
+
 def having_match(
     queries: DataFrame, points: DataFrame, floor: float, keys: list[str], block_rows: int, ordered: bool
 ) -> DataFrame:

@@ -1,6 +1,8 @@
 """Claims, tiers, ranking and guards against plain statements of the rules."""
 
 import random
+
+import pytest
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -21,18 +23,29 @@ def claims(times, ttl):
     return out
 
 
-def test_claims_do_not_extend(spark):
+@pytest.mark.parametrize("hot_times", [200_000, 20, 0])
+def test_claims_do_not_extend(spark, hot_times):
     rng = random.Random(3)
     by_key = {"a": [0, 5, 9, 10, 12, 21, 31], "b": [7], None: [3, 4, 13, 40]}
     by_key |= {f"k{n}": [rng.randrange(0, 900) for _ in range(rng.randrange(1, 80))] for n in range(12)}
     by_key["gap"] = [0, 1, 500, 501, 511, 4000]
     rows = [(k, datetime.fromtimestamp(t, timezone.utc)) for k, ts in by_key.items() for t in ts]
     df = spark.createDataFrame(rows, "key string, at timestamp")
-    got = dedup.claim_times(df, "key", "at", 10).select("key", F.unix_seconds("claimed_at").alias("t"))
+    got = dedup.claim_times(df.repartition(3), "key", "at", 10, hot_times).select("key", F.unix_seconds("claimed_at").alias("t"))
     expected = sorted((str(k), t) for k, ts in by_key.items() for t in claims(ts, 10))
     assert sorted((str(r.key), r.t) for r in got.collect()) == expected
 
 
+def test_claims_go_on_across_batches(spark):
+    """A key of many Arrow batches, between keys of one row each."""
+    rows = spark.range(0, 30_000, 1, 4).selectExpr("CASE WHEN id % 100 = 7 THEN id ELSE -1 END AS key", "timestamp_seconds(id) AS at")
+    got = dedup.claim_times(rows, "key", "at", 2_500).select("key", F.unix_seconds("claimed_at").alias("t")).collect()
+    by_key = {}
+    for i in range(30_000):
+        by_key.setdefault(i if i % 100 == 7 else -1, []).append(i)
+    assert sorted((r.key, r.t) for r in got) == sorted((k, t) for k, ts in by_key.items() for t in claims(ts, 2_500))
+
+
 def test_url_claim_expires(spark):
     articles = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z")], "seq long, url_hash string")
     held = spark.createDataFrame([("y", T0 - timedelta(days=9)), ("z", T0 - timedelta(days=10))], "url_hash string, claimed_at timestamp")
