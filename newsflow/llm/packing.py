@@ -53,8 +53,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
+        # A text with an added token in it goes to the tokenizer whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocabulary.values()) + 1, np.bool_)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
@@ -81,7 +82,7 @@ class Words:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for text in texts:
-            if not self.by_word or _PLAIN.search(text):
+            if not self.by_word or _PLAIN.search(text) or any(t in text for t in self.added):
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
             words = text.lower().split()
@@ -226,6 +227,6 @@ def packed(docs: DataFrame, options: Packing = Packing(), keep_ids: bool = False
 
     A null or empty text is one piece that holds the end id alone. Documents longer than the capacity are cut,
     others never. Repeated rows are packed as often as they occur, a null id is kept, an empty table gives no
-    rows. Strings that look like special tokens are ordinary text. Other columns are not read.
+    rows. Special tokens in a text become their ids, as in a plain call of the tokenizer. Other columns are not read.
     """
     return pack(pieces(docs, options, keep_ids), options)

@@ -10,15 +10,13 @@ from newsflow.llm import packing as p
 
 TEXTS = [
     "Hello's world, we're 42 don't ÄÖÜ straße", "", None, "a" * 5000, "½ ² ª ﬁ İstanbul ΣΑΣ <|endoftext|> x<|startoftext|>", "tabs\tand\nlines\x0b\x0c\x1c\x85 done",
-    "__init__ (x)->y!='s' '' ''s", "日本語 текст 😀😀", "é é", "word " * 3000, "   ​", "don’t “quote” – ok…", "  ", "ſ K İ",
+    "plain words <|endoftext|> more", "<|ENDOFTEXT|> x<|startoftext|>y", "__init__ (x)->y!='s' '' ''s", "日本語 текст 😀😀", "é é", "word " * 3000, "   ​", "don’t “quote” – ok…", "  ", "ſ K İ",
 ]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def ids(tokenizer, text):
@@ -27,7 +25,7 @@ def ids(tokenizer, text):
 
 def test_word_lookup_equals_tokenizer(tokenizer):
     r = random.Random(5)
-    pool = "abcXYZ'’éÀß_-.,!?0129 \n\t½²ªµſKﬁ日😀́ ​\x1c"
+    pool = [*"abcXYZ'’éÀß_-.,!?0129 \n\t½²ªµſKﬁ日😀́ ​\x1c", "<|endoftext|>"]
     texts = [t or "" for t in TEXTS] + ["".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(800)]
     for limit in (300_000, 7):
         coder = p.Words("word_bpe_49k.json", limit)
