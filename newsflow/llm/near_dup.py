@@ -122,13 +122,14 @@ def _key(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, options: NearDuplicates) -> DataFrame:
-    """(doc_id, n_shingles, key) of each row; registers and bands with the first row of a key in a task."""
+    """(doc_id, text_id, n_shingles, key) of each row; registers and bands with the first row of a key in a task."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[bytes] = set()
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_shingles", "key", "registers", "bands")}
+            out: dict[str, list] = {k: [] for k in ("text_id", "n_shingles", "key", "registers", "bands")}
             for raw in byte_rows(batch.column(1)):
+                out["text_id"].append(hashlib.sha256(raw).digest())
                 found = shingles(raw, options.words)
                 key = _key(found) if len(found) else None
                 fresh = key is not None and key not in seen
@@ -143,7 +144,7 @@ def signatures(docs: DataFrame, options: NearDuplicates) -> DataFrame:
                 out["bands"].append(bands_of(held, options).tolist() if fresh else None)
             yield out | {"doc_id": batch.column(0)}
 
-    return map_batches(texts_of(docs), "doc_id long, n_shingles long, key binary, registers binary, bands array<long>", body)
+    return map_batches(texts_of(docs), "doc_id long, text_id binary, n_shingles long, key binary, registers binary, bands array<long>", body)
 
 
 def shingle_sets(docs: DataFrame, keys: DataFrame, options: NearDuplicates) -> DataFrame:
@@ -351,6 +352,11 @@ def near_duplicates(docs: DataFrame, options: NearDuplicates = NearDuplicates())
     has none but itself. Repeated rows share their component; a null id has the component of its text and is kept only
     if no other id is in it, which for texts without words is always. Other columns are not read.
     """
+    return classed(docs, options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def classed(docs: DataFrame, options: NearDuplicates) -> DataFrame:
+    """(doc_id, text_id, n_shingles, label, component_id, kept) of each row; the label names the component, null without words."""
     rows = cut(signatures(docs, options))
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"),
@@ -374,19 +380,25 @@ def near_duplicates(docs: DataFrame, options: NearDuplicates = NearDuplicates())
         labels = cut(components(edges.unionByName(links)))
     named = classes.select("key", "least_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    found = cut(named.join(least, "label").select("key", "component_id"))
-    out = rows.select("doc_id", "n_shingles", "key").join(found, "key", "left")
+    found = cut(named.join(least, "label").select("key", "label", "component_id"))
+    out = rows.select("doc_id", "text_id", "n_shingles", "key").join(found, "key", "left")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_id", "n_shingles", "label", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, options: NearDuplicates = NearDuplicates()) -> DataFrame:
     """The rows of documents, all their columns, with one document of each component: that with the smallest id.
 
-    Of repeated rows of one id and text one stays. Rows without words and rows without an id stay.
+    If that id has several texts in the component, the text with the smallest SHA-256 stays; an id with texts in
+    several components is judged in each. Of repeated rows of one id and text one stays. Rows without words and rows
+    without an id stay.
     """
-    marks = near_duplicates(docs, options)
-    gone = marks.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    # Dealt by id already, so this needs no further shuffle.
-    return left.dropDuplicates(["doc_id", "text"])
+    marks = cut(classed(docs, options).filter("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text_id", "label", "kept"))
+    first = marks.filter("kept").groupBy("label").agg(F.min("text_id").alias("first_text"))
+    others = marks.filter("kept").join(first, "label").filter("text_id <> first_text").select("doc_id", "text_id")
+    gone = marks.filter("NOT kept").select("doc_id", "text_id").unionByName(others).distinct().toDF("gone_id", "gone_text")
+    text_id = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = docs.select(F.struct("*").alias("document"), F.col("doc_id").alias("own_id"), text_id.alias("own_text"), F.col("text").isNull().alias("no_text"))
+    left = rows.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_text") == F.col("gone_text")), "left_anti")
+    # Dealt by id and text already, so this needs no further shuffle.
+    return left.dropDuplicates(["own_id", "own_text", "no_text"]).select("document.*")

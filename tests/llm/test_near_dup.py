@@ -100,6 +100,19 @@ def test_filter_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == expected
 
 
+def test_filter_judges_id_and_text_together(spark):
+    a, b = "one two three four five six seven", "red green blue black white brown grey"
+    schema = "doc_id long, text string, gone_id int"
+    docs = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], schema)
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in nd.deduplicated(docs(rows)).collect())
+    # The same id with two texts: each group keeps one document.
+    assert kept([(1, b), (5, a), (5, b), (7, a)]) == [(1, b), (5, a)]
+    # Two near texts under the smallest id of their group: one of them stays.
+    near = " ".join(f"w{i}" for i in range(60))
+    left = kept([(1, near + " x"), (1, near + " y"), (2, near)])
+    assert len(left) == 1 and left[0][0] == 1
+
+
 def test_long_paths_join(spark):
     path = [(bytes([i + 1]), bytes([i])) for i in range(40)] + [(bytes([90]), bytes([91]))]
     edges = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in path], "a binary, b binary")
