@@ -26,10 +26,10 @@ class Rules:
     slots: int = 1 << 14
     #: At most so many documents labelled good stand for trusted text, those with the smallest hashes of their ids.
     trusted_documents: int = 20_000
-    #: N-grams of the raw corpus below which a slot says nothing.
-    min_count: int = 20
-    #: N-grams per slot by which the trusted counts are drawn towards the raw corpus.
-    prior: float = 4.0
+    #: Share of a slot's mean n-grams in the raw corpus below which it says nothing.
+    min_share: float = 0.02
+    #: Share of the trusted n-grams by which their counts are drawn towards the raw corpus.
+    prior_share: float = 0.05
     #: Mean log ratio in nats per n-gram below which a document goes.
     floor: float = -0.1
 
@@ -57,8 +57,8 @@ def slots_of(slots: int) -> Column:
 def slot_weights(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float]:
     """log P(slot | trusted) - log P(slot | raw); zeros without a trusted document.
 
-    Trusted counts are smoothed towards the raw corpus and rare slots have no weight, so that a small corpus does not
-    speak against words that its trusted part merely has not shown yet.
+    Trusted counts are smoothed towards the raw corpus and rare slots have no weight. Both go by shares of the n-grams
+    seen, so that a corpus and the same corpus many times over judge alike.
     """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     trusted = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_documents)
@@ -70,9 +70,10 @@ def slot_weights(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float
         raw[r["slot"]], target[r["slot"]] = r["raw"], r["target"]
     if not sum(target):
         return [0.0] * rules.slots
-    everything, trusted_grams, pull = sum(raw), sum(target), rules.prior * rules.slots
+    everything, trusted_grams = sum(raw), sum(target)
+    pull, least = rules.prior_share * trusted_grams, rules.min_share * everything / rules.slots
     return [
-        math.log((t * everything / r + pull) / (trusted_grams + pull)) if r >= rules.min_count else 0.0 for t, r in zip(target, raw, strict=True)
+        math.log((t * everything / r + pull) / (trusted_grams + pull)) if r and r >= least else 0.0 for t, r in zip(target, raw, strict=True)
     ]
 
 

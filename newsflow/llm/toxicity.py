@@ -28,17 +28,17 @@ class Lexicon:
     #: At most so many labelled documents of each class are learned from, those with the smallest hashes of their ids.
     toxic_documents: int = 4_000
     clean_documents: int = 16_000
-    #: At most so many terms, those with the most distinct surroundings.
-    terms: int = 4_000
     #: Distinct surroundings that a term needs, and the chance to see as many in toxic texts by accident.
     support: int = 6
     chance: float = 1e-7
     precision: float = 0.9
     stem_lengths: tuple[int, ...] = (4, 5, 6)
     stem_words: int = 3
-    #: Word length from which one and two edits are let pass.
-    one_edit: int = 5
+    #: Length of a term from which one and two edits of it are let pass; two neighbours that change places are one edit.
+    one_edit: int = 4
     two_edits: int = 9
+    #: Shorter words are no terms.
+    shortest_term: int = 3
     #: Characters looked at on either side of a match.
     window: int = 60
     threshold: float = 0.7
@@ -46,6 +46,7 @@ class Lexicon:
 
 
 WORD = re.compile(r"[^\W_]+")
+State = tuple[tuple[int, ...], tuple[int, ...], str]
 # Quotation marks, and words that introduce what somebody else said.
 QUOTES = "\"“”„«»‹›"
 REPORTS = frozenset("said says wrote writes quoted quote quotes called reported term word sagte schrieb zitat nannte wort dit écrit cité mot terme dijo escribió cita llamó palabra".split())
@@ -66,31 +67,39 @@ class Trie:
 
 
 class LevenshteinAutomaton:
-    """All strings within `edits` edits of a word. A state is the row of edit counts, capped one above the limit."""
+    """All strings within `edits` edits of a word, a swap of neighbours being one edit.
+
+    A state is the row of edit counts, capped one above the limit, with the row before it and the letter between them,
+    which a swap needs.
+    """
 
     def __init__(self, word: str, edits: int) -> None:
         self.word, self.edits = word, edits
 
-    def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.edits + 1) for i in range(len(self.word) + 1))
+    def start(self) -> State:
+        return tuple(min(i, self.edits + 1) for i in range(len(self.word) + 1)), (), ""
 
-    def step(self, state: tuple[int, ...], c: str) -> tuple[int, ...]:
-        cap = self.edits + 1
-        row = [min(state[0] + 1, cap)]
-        for i, own in enumerate(self.word):
-            row.append(min(row[i] + 1, state[i] + (own != c), state[i + 1] + 1, cap))
-        return tuple(row)
+    def step(self, state: State, c: str) -> State:
+        (now, before, last), cap, word = state, self.edits + 1, self.word
+        row = [min(now[0] + 1, cap)]
+        for i, own in enumerate(word):
+            best = min(row[i] + 1, now[i] + (own != c), now[i + 1] + 1, cap)
+            if i and before and own == last and word[i - 1] == c:
+                best = min(best, before[i - 1] + 1)
+            row.append(best)
+        return tuple(row), now, c
 
     def intersect(self, trie: Trie) -> list[tuple[int, str]]:
         """(edits, term) of the trie's terms that the automaton accepts."""
         out, todo = [], [(trie, self.start())]
         while todo:
             node, state = todo.pop()
-            if node.end is not None and state[-1] <= self.edits:
-                out.append((state[-1], node.end))
+            if node.end is not None and state[0][-1] <= self.edits:
+                out.append((state[0][-1], node.end))
             for c, child in node.next.items():
                 following = self.step(state, c)
-                if min(following) <= self.edits:
+                # A swap may still come back to the row before.
+                if min(following[0]) <= self.edits or min(state[0]) < self.edits:
                     todo.append((child, following))
         return sorted(out)
 
@@ -109,16 +118,14 @@ class Matcher:
         self.trie = Trie()
         self.less: set[str] = set()
         self.parts: dict[int, dict[str, set[int]]] = {}
+        self.longest = max(map(len, words), default=0)
         for term in words:
             # Also terms that a stem covers: the stem is compared exactly, so a misspelling inside it needs the term.
-            if len(term) >= options.one_edit - 1:
+            if len(term) >= options.one_edit:
                 self.trie.add(term)
                 self.less.update([term], _shorter(term))
             if len(term) >= options.two_edits:
-                # A string within two edits of a term has one of three parts of it unchanged, two places off at most.
-                for p in range(3):
-                    first, end = p * len(term) // 3, (p + 1) * len(term) // 3
-                    self.parts.setdefault(end - first, {}).setdefault(term[first:end], set()).update(range(first - 2, first + 3))
+                self._split(term)
         self.kept: dict[str, int | None] = {}
 
     def edits(self, word: str) -> int | None:
@@ -129,25 +136,39 @@ class Matcher:
         out = self.kept[word] = self.find(word)
         return out
 
+    def _split(self, term: str) -> None:
+        """Pieces of which a string within two edits of the term has one unchanged, two places off at most."""
+        one, two = len(term) // 3, 2 * len(term) // 3
+        swapped = lambda i: term[: i - 1] + term[i] + term[i - 1] + term[i + 1 :]
+        pieces = [(0, term[:one]), (one, term[one:two]), (two, term[two:])]
+        # A swap across a cut touches two thirds at once; with the other edit in the last one, these two are as swapped.
+        pieces += [(0, swapped(one)[:two]), (one, swapped(two)[one:])]
+        both = swapped(one)
+        pieces.append((0, both[: two - 1] + both[two] + both[two - 1] + both[two + 1 :]))
+        for first, piece in pieces:
+            self.parts.setdefault(len(piece), {}).setdefault(piece, set()).update(range(first - 2, first + 3))
+
     def find(self, word: str) -> int | None:
         if word in self.words or any(word[:n] in self.stems for n in self.stem_lengths):
             return 0
-        allowed = (len(word) >= self.options.one_edit) + (len(word) >= self.options.two_edits)
-        if not allowed or len(word) > 64 or word in self.genuine:
+        if not self.options.one_edit - 1 <= len(word) <= self.longest + 2 or word in self.genuine:
             return None
-        if not self.maybe(word, allowed):
+        allowed = self.maybe(word)
+        if not allowed:
             return None
         for edits, term in LevenshteinAutomaton(word, allowed).intersect(self.trie):
             if edits < 2 or len(term) >= self.options.two_edits:
                 return edits
         return None
 
-    def maybe(self, word: str, allowed: int) -> bool:
-        """False only if no term is within the edits: what spares most words the automaton."""
+    def maybe(self, word: str) -> int:
+        """The most edits that a term may be away, 0 if certainly none is near: what spares most words the automaton."""
+        if len(word) >= self.options.two_edits - 2 and any(
+            i in held.get(word[i : i + n], ()) for n, held in self.parts.items() for i in range(len(word) - n + 1)
+        ):
+            return 2
         # Strings one edit apart agree once each has lost a letter at most.
-        if word in self.less or not self.less.isdisjoint(_shorter(word)):
-            return True
-        return allowed > 1 and any(i in held.get(word[i : i + n], ()) for n, held in self.parts.items() for i in range(len(word) - n + 1))
+        return int(word in self.less or not self.less.isdisjoint(_shorter(word)))
 
     def features(self, text: str) -> tuple[int, int, int]:
         """Plain exact matches, plain misspelled ones, and quoted or reported ones."""
@@ -199,7 +220,7 @@ def learn(sample: DataFrame, options: Lexicon) -> tuple[list[str], list[str]]:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = WORD.findall(text.lower())
                 for before, w, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-                    if len(w) >= 3:
+                    if len(w) >= options.shortest_term:
                         rows.add((w, w, before + " " + after, toxic))
             if len(rows) > options.cached_words:
                 yield _columns(rows)
@@ -221,7 +242,8 @@ def learn(sample: DataFrame, options: Lexicon) -> tuple[list[str], list[str]]:
     by_word = terms.groupBy("term", "stem", "word").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
     sums = by_word.groupBy("term", "stem").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("words"))
     good = sums.filter((F.col("k") >= options.support) & (F.col("k") >= options.precision * F.col("n")) & (~F.col("stem") | (F.col("words") >= options.stem_words)))
-    rows = good.orderBy(F.desc("k"), "term", "stem").limit(options.terms).collect()
+    # The sample is bounded, and so is what enough of its surroundings show.
+    rows = good.orderBy(F.desc("k"), "term", "stem").collect()
     sure = [r for r in rows if _chance(r["k"], r["n"], bad / whole) < math.log(options.chance)]
     stems_found: list[str] = []
     for s in sorted((r["term"] for r in sure if r["stem"]), key=lambda s: (len(s), s)):
@@ -231,14 +253,13 @@ def learn(sample: DataFrame, options: Lexicon) -> tuple[list[str], list[str]]:
 
 
 def _genuine(sample: DataFrame, matcher: Matcher, options: Lexicon) -> frozenset[str]:
-    """Words of clean labelled texts that are near a term without being a misspelling of it."""
+    """Words of the sample's clean texts that are near a term without being a misspelling of it, however many."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         words = {w for b in batches for t in b.column(0).to_pylist() for w in WORD.findall(t.lower())}
         yield {"word": [w for w in words if matcher.find(w)]}
 
-    rows = map_batches(sample.filter("toxic = 0").select("text"), "word string", body).distinct()
-    return frozenset(r["word"] for r in rows.orderBy("word").limit(10 * options.terms).collect())
+    return frozenset(r["word"] for r in map_batches(sample.filter("toxic = 0").select("text"), "word string", body).distinct().collect())
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:

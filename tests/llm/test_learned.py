@@ -14,12 +14,36 @@ SCHEMA = "doc_id long, text string, lang string"
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits between two strings, a swap of neighbours being one."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, last = [i], row
+        row, last = [i], rows[-1]
         for j, y in enumerate(b, 1):
-            row.append(min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+            best = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                best = min(best, rows[-2][j - 2] + 1)
+            row.append(best)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def misspelled(r, term, edits, letters):
+    word = list(term)
+    for _ in range(edits):
+        i = r.randrange(len(word)) if word else 0
+        if len(word) > 1 and r.random() < 0.4:
+            i = r.randrange(len(word) - 1)
+            word[i], word[i + 1] = word[i + 1], word[i]
+        elif word:
+            word[i] = r.choice(["", *letters, "x" + word[i]])
+            word = list("".join(word))
+    return "".join(word)
+
+
+def fitting(word, terms, options):
+    """The fewest edits that a term of its length lets pass."""
+    near = [(edit_distance(word, t), t) for t in terms]
+    return min((n for n, t in near if n <= (len(t) >= options.one_edit) + (len(t) >= options.two_edits)), default=None)
 
 
 def held(i):
@@ -132,7 +156,7 @@ def test_quality_equals_plain_python(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(*x, 1, True) for x in rows], SCHEMA + ", n_words int, kept boolean")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
-    rules = q.Rules(slots=256, floor=-0.02, min_count=5)
+    rules = q.Rules(slots=256, floor=-0.02, min_share=0.1)
     weights = [0.0] * rules.slots
     plain = [plain_quality(t, rules, weights)[2] for t in texts]
     raw, good = [0] * rules.slots, [0] * rules.slots
@@ -140,8 +164,8 @@ def test_quality_equals_plain_python(spark):
         for s in slots:
             raw[s] += 1
             good[s] += i < 40 and i % 2 == 1
-    pull = rules.prior * rules.slots
-    weights = [math.log((g + pull * w / sum(raw)) / (sum(good) + pull) / (w / sum(raw))) if w >= 5 else 0.0 for g, w in zip(good, raw)]
+    pull, least = rules.prior_share * sum(good), rules.min_share * sum(raw) / rules.slots
+    weights = [math.log((g + pull * w / sum(raw)) / (sum(good) + pull) / (w / sum(raw))) if w and w >= least else 0.0 for g, w in zip(good, raw)]
     got = {x["doc_id"]: x for x in q.quality(docs, labels, rules).collect()}
     for i, t in enumerate(texts):
         counts, score, _ = plain_quality(t, rules, weights)
@@ -152,6 +176,18 @@ def test_quality_equals_plain_python(spark):
             assert x["kept"] == counts[6]
 
 
+def test_quality_does_not_depend_on_the_size_of_the_table(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % (40 if i % 3 else 400)}" for _ in range(50)) for i in range(60)]
+    schema = "doc_id long, text string"
+    judged = {}
+    for times in (1, 12):
+        docs = spark.createDataFrame([(i + 1000 * k, t) for k in range(times) for i, t in enumerate(texts)], schema)
+        labels = spark.createDataFrame([(i + 1000 * k, i % 3 and 1, 0) for k in range(times) for i in range(40)], "doc_id long, quality int, toxic int")
+        judged[times] = {x["doc_id"]: (round(x["score"], 6), x["kept"]) for x in q.quality(docs, labels).collect() if x["doc_id"] < 1000}
+    assert judged[1] == judged[12] and {k for _, k in judged[1].values()} == {True, False}
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(None, "word " * 3 + " ".join(map(str, range(30))), "x")] * 2, SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -170,18 +206,23 @@ def test_automaton_and_trie_equal_edit_distance():
         trie.add(t)
     options = tox.Lexicon()
     matcher = tox.Matcher(sorted(set(terms)), [], frozenset(), options)
-    for _ in range(400):
-        word = list(r.choice(terms))
-        for _ in range(r.randint(0, 3)):
-            word[r.randrange(len(word))] = r.choice(["", "a", "xd", "b"])
-        word = "".join(word)
+    found = set()
+    for _ in range(1500):
+        word = misspelled(r, r.choice(terms), r.randint(0, 3), "abd")
         for edits in (1, 2):
             got = tox.LevenshteinAutomaton(word, edits).intersect(trie)
             assert got == sorted((n, t) for t in set(terms) if (n := edit_distance(word, t)) <= edits)
-        allowed = (len(word) >= options.one_edit) + (len(word) >= options.two_edits)
-        near = [edit_distance(word, t) for t in terms]
-        fits = [n for n, t in zip(near, terms) if n <= allowed and (n < 2 or len(t) >= options.two_edits) and (n == 0 or len(t) >= options.one_edit - 1)]
-        assert matcher.find(word) == (0 if 0 in near else min(fits, default=None))
+        assert matcher.find(word) == fitting(word, terms, options), word
+        found.add(matcher.find(word))
+    assert found == {0, 1, 2, None}
+
+
+def test_term_length_decides_on_edits():
+    options = tox.Lexicon()
+    matcher = tox.Matcher(["idiot", "loser", "trash", "scum", "worthless"], [], frozenset(), options)
+    assert [matcher.find(w) for w in ("idot", "losr", "trsh", "scm", "idoit", "diiot", "sucm")] == [1] * 7
+    assert [matcher.find(w) for w in ("worthles", "wortless", "owrthelss", "wrthless", "worhtlses")] == [1, 1, 2, 1, 2]
+    assert [matcher.find(w) for w in ("id", "itdio", "w" * 100, "words")] == [None] * 4
 
 
 def test_edits_inside_a_stem_are_matched():
@@ -194,16 +235,11 @@ def test_edits_inside_a_stem_are_matched():
     stems = sorted({t[: r.choice([4, 5, 6])] for t in terms[::2]})
     matcher, found = tox.Matcher(terms, stems, frozenset(), options), 0
     for _ in range(800):
-        word = list(r.choice(terms))
-        for _ in range(r.randint(0, 3)):
-            word[r.randrange(len(word))] = r.choice(["", "a", "xd", "b"])
-        word = "".join(word)
-        allowed = (len(word) >= options.one_edit) + (len(word) >= options.two_edits)
-        near = [(edit_distance(word, t), t) for t in terms]
-        fits = [n for n, t in near if n <= allowed and (n < 2 or len(t) >= options.two_edits)]
+        word = misspelled(r, r.choice(terms), r.randint(0, 3), "ab")
+        fits = fitting(word, terms, options)
         stemmed = word in terms or any(word.startswith(s) for s in stems)
-        assert matcher.find(word) == (0 if stemmed else min(fits, default=None)), word
-        found += not stemmed and bool(fits)
+        assert matcher.find(word) == (0 if stemmed else fits), word
+        found += not stemmed and fits is not None
     assert found > 50
 
 
