@@ -33,8 +33,8 @@ class Packing:
     rows_per_task: int = 50_000
     #: Exchanges between partitions that miss their bound.
     rounds: int = 3
-    #: Words whose ids a worker keeps; beyond it starts anew.
-    cached_words: int = 1_000_000
+    #: Words and parts of words whose ids a worker keeps; beyond it starts anew.
+    cached_words: int = 800_000
 
 
 #: Texts of these characters alone are lower-cased, split and looked up word by word; the rest go to the tokenizer whole.
@@ -60,24 +60,24 @@ class Words:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.by_word = "word" in name
-        self.limit, self.words, self.parts = limit, {}, {}
+        self.limit = limit
+        #: Ids of words and of their parts; a part that stands alone is a word.
+        self.words: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > self.limit:
             self.words = {}
-        split = {w: _PART.findall(w) for w in words}
-        fresh = list({p for parts in split.values() for p in parts if p not in self.parts})
-        if len(self.parts) + len(fresh) > self.limit:
-            self.parts = {}
-            fresh = list({p for parts in split.values() for p in parts})
+        known, split = self.words, {w: _PART.findall(w) for w in words}
+        fresh = list({p for parts in split.values() for p in parts if p not in known})
         if fresh:
             ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             raw, at = ids.tobytes(), 0
             for part, end in zip(fresh, cuts.tolist(), strict=True):
-                self.parts[part], at = raw[at:end], end
+                known[part], at = raw[at:end], end
         for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+            if len(parts) != 1 or parts[0] != word:
+                known[word] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
