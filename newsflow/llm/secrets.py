@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,18 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from newsflow.llm.common import byte_rows, map_batches, texts_of
+from newsflow.llm.common import byte_rows, map_batches, once, texts_of
 
 KINDS = ("assign", "access", "hex", "format")
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
+DOTTED = r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*"
+#: What joins a credential to its neighbours, left over where a base span is cut off.
+JOINERS = "-_=+/."
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_MAP = bytes(49 if c in b"0123456789abcdef" else 32 for c in range(256))
-_CANDIDATE_MAP = bytes(49 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_=-") else 32 for c in range(256))
-_DIGIT = re.compile(rb"[0-9]")
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,12 @@ class Grammar:
     alpha: float = 0.05
     #: Probability of a step that an automaton lacks.
     unseen: float = 1e-4
-    #: Mean log ratio per character, against uniform random characters, from which a candidate is a secret.
+    #: Mean log ratio per character, against plain strings, from which a candidate is a secret.
     floor: float = 0.5
+    #: Log ratio over the whole candidate that it needs as well: how short it may be follows from the automata.
+    evidence: float = 20.0
+    #: Candidates whose score a worker keeps.
+    cached: int = 300_000
 
 
 #: Character classes and their numbers of characters; others stand for themselves.
@@ -130,14 +136,37 @@ def infer(values: list[str], alpha: float) -> list[tuple[float, dict[str, tuple[
     return [(r.ends / max(1, r.seen), {c: (r.went[c] / max(1, r.seen), number[id(to)]) for c, to in sorted(r.next.items())}) for r in red]
 
 
+_PLAIN = ((re.compile(r"[0-9]+"), math.log(10)), (re.compile(r"[a-z]+"), math.log(26)), (re.compile(r"[A-Z]+"), math.log(26)))
+
+
 def likelihood(value: str, states: list, unseen: float) -> float:
-    """Mean log ratio per character between an automaton and uniform random characters."""
+    """Mean log ratio per character between an automaton and plain strings.
+
+    A plain string is one of uniform random characters, or of digits, small or capital letters alone, whichever is the
+    likeliest: numbers and words are no credentials for fitting the alphabet of one.
+    """
     at, total = 0, 0.0
     for c in classes(value):
         p, to = states[at][1].get(c, (unseen, at))
-        total += math.log(max(p, unseen)) - math.log(_SIZES.get(c, 1) / _ALPHABET)
+        total += math.log(max(p, unseen)) - math.log(_SIZES.get(c, 1))
         at = to
-    return total / max(1, len(value))
+    plain = min([size for kind, size in _PLAIN if kind.fullmatch(value)], default=math.log(_ALPHABET))
+    return total / max(1, len(value)) + plain
+
+
+def least_length(automata: dict[str, list], options: Grammar) -> int:
+    """Characters that the likeliest string of any automaton needs for the evidence asked for; 0 if none ever has it."""
+    best = {(kind, 0): 0.0 for kind in automata}
+    for n in range(1, 257):
+        after: dict[tuple[str, int], float] = {}
+        for (kind, at), total in best.items():
+            for c, (p, to) in automata[kind][at][1].items():
+                gain = total + math.log(max(p, options.unseen)) - math.log(_SIZES.get(c, 1)) + math.log(_ALPHABET)
+                after[kind, to] = max(gain, after.get((kind, to), -math.inf))
+        if max(after.values(), default=-math.inf) >= options.evidence:
+            return n
+        best = after
+    return 0
 
 
 def base_spans(raw: bytes, decoded: str | None = None) -> list[tuple[int, int, int, str]]:
@@ -158,25 +187,74 @@ def base_spans(raw: bytes, decoded: str | None = None) -> list[tuple[int, int, i
     return sorted(out)
 
 
-def format_spans(raw: bytes, base: list, automata: dict, options: Grammar) -> tuple[list[tuple[int, int, int, float]], float]:
-    """Candidates outside the base spans that an automaton takes for a credential, and the best score of any."""
-    best = -math.inf
-    if not automata or b"1" * 16 not in raw.translate(_CANDIDATE_MAP) or not _DIGIT.search(raw):
-        return [], best
-    out, at = [], 0
-    for m in CANDIDATE.finditer(raw.decode()):
-        s = m[0]
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        while at < len(base) and base[at][2] <= m.start():
-            at += 1
-        if any(b[0] < m.end() and b[2] > m.start() for b in base[at:]):
-            continue
-        score = max(likelihood(s, states, options.unseen) for states in automata.values())
-        best = max(best, score)
-        if score >= options.floor:
-            out.append((m.start(), 3, m.end(), score))
-    return out, best
+class Scorer:
+    """Scores of candidates under all automata, kept by a worker up to a limit."""
+
+    def __init__(self, automata: dict[str, list], options: Grammar) -> None:
+        self.automata, self.options, self.kept = list(automata.values()), options, {}
+        self.least = least_length(automata, options)
+        self.runs = re.compile(CANDIDATE % max(1, self.least))
+        self.dotted = re.compile(DOTTED)
+
+    def score(self, value: str) -> float:
+        if value not in self.kept:
+            if len(self.kept) >= self.options.cached:
+                self.kept = {}
+            self.kept[value] = max(likelihood(value, states, self.options.unseen) for states in self.automata)
+        return self.kept[value]
+
+    def passes(self, value: str) -> bool:
+        mean = self.score(value)
+        return mean >= self.options.floor and mean * len(value) >= self.options.evidence
+
+    def spans(self, text: str, base: list) -> tuple[list[tuple[int, int, int, float]], float]:
+        """The candidates that an automaton takes for a credential, and the best score of any.
+
+        Candidates are the runs of credential characters, less what base spans cover: what is left on either side of
+        one is a candidate of its own, without the characters that joined it. Runs joined by dots are tried as one if
+        they do not pass by themselves.
+        """
+        best, out = -math.inf, []
+        if not self.least or self.runs.search(text) is None and "." not in text:
+            return out, best
+        for start, end in self.pieces(text, base):
+            value = text[start:end]
+            if len(value) >= self.least:
+                best = max(best, self.score(value))
+                if self.passes(value):
+                    out.append((start, 3, end, self.score(value)))
+        if "." in text and any("." in states[1] for a in self.automata for states in a):
+            held = sorted([b[:3] for b in base] + [m[:3] for m in out])
+            for m in self.dotted.finditer(text):
+                if "." in m[0] and len(m[0]) >= self.least and not any(s[0] < m.end() and s[2] > m.start() for s in held) and self.passes(m[0]):
+                    best = max(best, self.score(m[0]))
+                    out.append((m.start(), 3, m.end(), self.score(m[0])))
+        return sorted(out), best
+
+    def pieces(self, text: str, base: list) -> Iterator[tuple[int, int]]:
+        covers, at = [], 0
+        for b in sorted(b[:3:2] for b in base):
+            if covers and b[0] <= covers[-1][1]:
+                covers[-1][1] = max(covers[-1][1], b[1])
+            else:
+                covers.append(list(b))
+        for m in self.runs.finditer(text):
+            while at < len(covers) and covers[at][1] <= m.start():
+                at += 1
+            start, k = m.start(), at
+            while k < len(covers) and covers[k][0] < m.end():
+                yield self._bare(text, start, covers[k][0], m.start(), m.end())
+                start, k = max(start, covers[k][1]), k + 1
+            yield self._bare(text, start, m.end(), m.start(), m.end())
+
+    @staticmethod
+    def _bare(text: str, start: int, end: int, first: int, last: int) -> tuple[int, int]:
+        """The piece without joining characters at the ends that were cut."""
+        while start > first and start < end and text[start] in JOINERS:
+            start += 1
+        while end < last and start < end and text[end - 1] in JOINERS:
+            end -= 1
+        return start, end
 
 
 def examples(docs: DataFrame, options: Grammar) -> dict[str, list[str]]:
@@ -188,8 +266,11 @@ def examples(docs: DataFrame, options: Grammar) -> dict[str, list[str]]:
             yield {"kind": [r[0] for r in rows], "value": [r[1] for r in rows]}
 
     found = map_batches(texts_of(docs).select("text"), "kind string, value string", body).distinct()
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    rows = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= options.examples).collect()
+    # A kind's rows are cut in many tasks before they meet in one.
+    first = lambda rows, *keys: rows.withColumn("n", F.row_number().over(
+        Window.partitionBy(*keys).orderBy(F.xxhash64("value"), "value"))).filter(F.col("n") <= options.examples)
+    dealt = first(found.withColumn("deal", F.pmod(F.hash("value"), F.lit(64))), "kind", "deal")
+    rows = first(dealt, "kind").collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["kind"], r["value"])):
         out.setdefault(r["kind"], []).append(r["value"])
@@ -212,7 +293,8 @@ def secrets(docs: DataFrame, options: Grammar = Grammar(), redact: str | None =
 
     n_assign, n_access and n_hex count the base matches, base and spans write the base and all spans as
     kind:start:end joined by commas, format_score is the best score of a candidate outside the base matches (null
-    without one). With `redact` the text comes back with each run of overlapping spans replaced by that string.
+    without one). Every run of credential characters, or what base matches leave of it, is a candidate if it is long
+    enough for the evidence that any automaton can give. With `redact` the text comes back with each run of overlapping spans replaced by that string.
     A null or empty text has no spans. Repeated rows and null ids are kept; a table without matches has no automata
     and so no spans of kind format. `carry` names further columns to hand on; others are not read.
     """
@@ -225,21 +307,25 @@ def secrets(docs: DataFrame, options: Grammar = Grammar(), redact: str | None =
     for n in names:
         schema = schema.add(n, rows.schema[n].dataType)
 
+    name = f"secrets:{uuid.uuid4().hex}"
+
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        scorer = once(name, lambda: Scorer(shared.value, options))
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base", "spans", "format_score", "text")}
             column = batch.column(1)
             for i, view in enumerate(byte_rows(column)):
                 raw = view.tobytes()
-                base = base_spans(raw)
-                more, best = format_spans(raw, base, shared.value, options)
+                text = raw.decode()
+                base = base_spans(raw, text)
+                more, best = scorer.spans(text, base)
                 for k in range(3):
                     out[("n_assign", "n_access", "n_hex")[k]].append(sum(b[1] == k for b in base))
                 out["base"].append(written(base))
                 out["spans"].append(written(sorted([b[:3] for b in base] + [m[:3] for m in more])) if more else out["base"][-1])
                 out["format_score"].append(best if best > -math.inf else None)
                 if redact is not None:
-                    out["text"].append(blanked(raw.decode(), base + more, redact) if base or more else column[i].as_py())
+                    out["text"].append(blanked(text, base + more, redact) if base or more else column[i].as_py())
             yield out | {"doc_id": batch.column(0)} | {n: batch.column(2 + k) for k, n in enumerate(names)}
 
     return map_batches(rows, schema, body).toDF(*schema.names[: len(schema) - len(carry)], *carry)

@@ -45,6 +45,43 @@ def test_grammar_finds_the_same_format(spark):
     assert got[0] == "assign:4:52,hex:12:52"
 
 
+def test_every_candidate_is_scored(spark):
+    """Beside and between base spans, joined by any character, without digits or without letters."""
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("ABCDEF0123456789") for _ in range(n))
+    rows = [(i, f"token = {key(36)} said") for i in range(80)]
+    long, one, two = hexes(r, 1, 26)[0], key(36), key(30)
+    rows += [(100, f"x {one}-{long} y"), (101, f"x {long}-{one} y"), (102, f"{one}/{long}={two}"), (103, "see " + "ABCDEFFEDCBA" * 2), (104, "call 4929 " + "1234567890" * 3)]
+    rows += [(105, "INTERNATIONALISATION CONTEMPORAINEMENT donaudampfschifffahrt " * 3), (106, f"path/{two}.txt."), (107, "")]
+    got = {x["doc_id"]: [p.split(":") for p in x["spans"].split(",") if p] for x in s.digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    cut = lambda i: [rows_by[i][int(a) : int(b)] for k, a, b in got[i] if k == "format"]
+    rows_by = dict(rows)
+    assert cut(100) == [one] and cut(101) == [one] and cut(102) == [one, two]
+    assert cut(104) == cut(105) == cut(107) == []
+    # A run of its own keeps its path, the automaton then decides; the credential in it is longer than its evidence needs.
+    assert all(k in ("format", "hex") for k, _, _ in got[106])
+
+
+def test_dotted_credentials():
+    r = random.Random(6)
+    part = lambda n: "".join(r.choice("abcdef0123456789") for _ in range(n))
+    automata = {"assign": s.infer([f"{part(12)}.{part(12)}" for _ in range(300)], 0.05)}
+    scorer = s.Scorer(automata, s.Grammar())
+    value = f"{part(9)}.{part(9)}"
+    assert [text[a:b] for text in [f"so {value}, it"] for a, _, b, _ in scorer.spans(text, [])[0]] == [value]
+    assert scorer.spans("plain words. More words.And others, v1.2.3 and a.b.c", [])[0] == []
+
+
+def test_least_length_follows_the_automata():
+    r = random.Random(7)
+    options = s.Grammar()
+    hexed = {"hex": s.infer(hexes(r, 300, 40), 0.05)}
+    least = s.least_length(hexed, options)
+    assert 12 <= least <= 16 and s.least_length({}, options) == 0
+    fixed = s.least_length({"access": s.infer(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOP0123456789") for _ in range(16)) for _ in range(300)], 0.05)}, options)
+    assert 0 < fixed <= 20
+
+
 def test_inference_merges_states_and_keeps_probabilities():
     r = random.Random(3)
     states = s.infer(hexes(r, 200, 30), 0.05)
