@@ -76,6 +76,29 @@ def _(v):
     )
 
 
+@query("feed_files", r"""
+    SELECT k.url, k.url_hash, coalesce(nullif(s.name, ''), s.feed_url) AS source_name, count(*) AS n
+    FROM keyed k JOIN sources s ON s.source_id = k.source_name
+    WHERE s.in_use AND s.feed_url <> '' AND article_id % 17 <> 5 GROUP BY ALL
+    UNION ALL SELECT '', '', s.source_id, 1 FROM sources s""")
+def _(v):
+    """The same feeds as landed files, one folder per source, with an unreadable file in each."""
+    path = fresh_path(v.spark, "feeds")
+    # A document has the items of one hour, as a feed lists a bounded number.
+    entry = F.startswith("xml", F.lit("<entry"))
+    documents = v.items.groupBy("source_id", F.expr("article_id DIV 200").alias("hour"), entry.alias("entry")).agg(F.collect_list("xml").alias("parts"))
+    root = lambda name: F.concat(F.lit(f"<{name}>"), F.array_join("parts", ""), F.lit(f"</{name}>"))
+    files = documents.select("source_id", F.when(F.col("entry"), root("feed")).otherwise(root("rss")).alias("xml"))
+    # A file that breaks off inside an item.
+    broken = v.sources.select("source_id", F.lit("<rss><channel><item><title>half").alias("xml"))
+    files.unionByName(broken).write.option("maxRecordsPerFile", 1).partitionBy("source_id").text(path)
+    items = feeds.read_feed_files(v.spark, path)
+    rows = feeds.feed_scan(items, feeds.source_registry(v.sources), v.latest)
+    read = rows.groupBy("url", "url_hash", "source_name").agg(F.count("*").alias("n"))
+    unread = feeds.malformed(items).groupBy("source_id").agg(F.count("*").alias("n"))
+    return read.unionByName(unread.select(F.lit("").alias("url"), F.lit("").alias("url_hash"), F.col("source_id").alias("source_name"), "n"))
+
+
 @query("fresh_articles", """
     SELECT article_id, source_name, published_s FROM articles
     WHERE published_s >= (SELECT max(published_s) FROM articles) - 10800""")

@@ -254,7 +254,7 @@ class Views:
 
     @cached_property
     def items(self) -> DataFrame:
-        """Articles as feed items in XML text, with the date written in several ways."""
+        """Articles as feed items and entries in XML text, with the date written in several ways."""
         d = F.col("article_id")
         esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
         day = lambda fmt, shift=0: F.date_format(F.col("published_at") + F.expr(f"INTERVAL {shift} SECOND"), fmt)
@@ -268,12 +268,20 @@ class Views:
         zoned = F.when(updated != "", F.concat(updated, F.lit(" EST"))).otherwise("")
         link = F.when(d % 17 == 5, "").otherwise(F.col("url"))
         tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+        # Every seventh is an entry: two links in attributes, and other names for the text and the dates.
+        href = lambda rel, c: F.concat(F.lit(f'<link rel="{rel}" href="'), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit('"/>'))
+        entry = F.concat(
+            F.lit('<entry xmlns="http://www.w3.org/2005/Atom"><title type="html">'), esc(F.col("title")), F.lit("</title>"),
+            F.when(link != "", F.concat(href("self", F.lit("https://feeds.example.com/all")), href("alternate", link))).otherwise(""),
+            F.when(d % 2 == 0, tag("summary", esc(F.col("description")))).otherwise(tag("content", esc(F.col("description")))),
+            tag("published", date), tag("updated", zoned), F.lit("</entry>"),
+        )
+        item = F.concat(
+            F.lit("<item>"), tag("title", esc(F.col("title"))), tag("link", link),
+            tag("description", esc(F.col("description"))), tag("pubDate", date), tag("updated", zoned), F.lit("</item>"),
+        )
         return self.spread_articles.select(
-            "article_id", F.col("source_name").alias("source_id"),
-            F.concat(
-                F.lit("<item>"), tag("title", esc(F.col("title"))), tag("link", link),
-                tag("description", esc(F.col("description"))), tag("pubDate", date), tag("updated", zoned), F.lit("</item>"),
-            ).alias("xml"),
+            "article_id", F.col("source_name").alias("source_id"), F.when(d % 7 == 3, entry).otherwise(item).alias("xml")
         )
 
     @cached_property

@@ -53,6 +53,48 @@ def test_feed_files_as_batch_and_stream(spark, tmp_path):
     assert [r.url for r in spark.table("feed_rows").collect()] == ["https://x/1?u=2"]
 
 
+ATOM = (
+    '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>F</title>'
+    '<entry><title type="html">T &lt;b&gt;</title><link rel="self" href="https://self"/><link rel="alternate" href="https://x/e1"/>'
+    "<summary>s</summary><published>2024-01-02T03:04:05Z</published></entry>"
+    '<entry><title>only</title><link rel="enclosure" href="https://x/e2"/><content type="html">c</content><updated>2024-01-03T03:04:05Z</updated></entry>'
+    "<entry><title>no link</title></entry></feed>")
+DATED = (
+    '<rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:atom="http://www.w3.org/2005/Atom"><atom:link href="https://no"/>'
+    '<item><title>D</title><atom:link href="https://no"/><link>https://x/d</link><dc:date>2024-01-04T00:00:00Z</dc:date></item></rss>')
+
+
+def test_both_kinds_of_feeds_and_broken_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from newsflow.sources.feeds import feed_scan, malformed, parse_items, read_feed_files
+
+    for name, text in (("a", ATOM), ("d", DATED), ("h", "<rss><item><title>half")):
+        folder = tmp_path / "feeds" / f"source_id={name}"
+        folder.mkdir(parents=True)
+        (folder / "x.xml").write_text(text)
+    sources = spark.createDataFrame([(n, n) for n in "adh"], "source_id string, name string")
+    want = {("https://x/e1", "T <b>", "s", 1704164645), ("https://x/e2", "only", "c", 1704251045), ("https://x/d", "D", "", 1704326400)}
+
+    def rows(streaming):
+        items = read_feed_files(spark, str(tmp_path / "feeds"), streaming=streaming)
+        return items, feed_scan(items, sources, F.timestamp_seconds(F.lit(9))).select("url", "title", "description", F.unix_seconds("published_at").alias("at"))
+
+    items, read = rows(False)
+    assert {tuple(r) for r in read.collect()} == want
+    assert [(r.source_id, r.broken) for r in malformed(items).collect()] == [("h", "<rss><item><title>half")]
+    _, read = rows(True)
+    read.writeStream.format("memory").queryName("both_kinds").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    assert {tuple(r) for r in spark.table("both_kinds").collect()} == want
+
+    texts = spark.createDataFrame(
+        [(1, '<entry xmlns="http://www.w3.org/2005/Atom"><title>E</title><link href="u"/></entry>'), (2, "<item><title>I</title><link>v</link></item>"), (3, "<item><title>x")],
+        "n int, xml string")
+    got = {r.n: (r.title, r.link, r.broken) for r in parse_items(texts).collect()}
+    assert got == {1: ("E", "u", None), 2: ("I", "v", None), 3: (None, None, "<item><title>x")}
+
+
 def test_stream_claims_expire(spark, tmp_path):
     from pyspark.sql import functions as F
 
