@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.catalog.sql_views import with_views
-from newsflow.catalog.views import MAJOR, Views
+from newsflow.catalog.views import LEXICON, MAJOR, SAID, Views
 from newsflow.functions import language as lang_fn
 from newsflow.functions import text as text_fn
 from newsflow.functions.urls import host, host_suffixes, normalized_url, url_hash
 from newsflow.functions.vectors import cosine
-from newsflow.operators import clustering, dedup, entities, evidence, heat, language, pages, scanjoin, select, simjoin, state
+from newsflow.operators import clustering, dedup, entities, evidence, heat, pages, scanjoin, select, simjoin, state
 from newsflow.params import Params
 from newsflow.plans import ingest
 from newsflow.session import fresh_path
@@ -312,19 +312,21 @@ def _(v):
 # --- filters ------------------------------------------------------------------------------------
 
 @query("english_filter", r"""
-    SELECT article_id FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM headlines)
+    SELECT article_id FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM headlines) LEFT JOIN detected USING (article_id)
     WHERE coalesce(len(regexp_extract_all(t, '[一-鿿㐀-䶿豈-﫿぀-ヿ가-힣]')) / nullif(len(regexp_extract_all(t, '\p{L}')), 0)::DOUBLE, 0) <= 0.05
-      AND (length(t) < 20 OR lang = 'en')""")
+      AND (length(t) < 20 OR coalesce(detected, 'en') = 'en')""")
 def _(v):
-    keep = lang_fn.is_english(F.col("text"), F.col("lang"), P.cjk_max, P.min_language_chars)
-    return v.headlines.filter(keep).select("article_id")
+    rows = v.headlines.join(v.detected(v.headlines.select("article_id", "text")), "article_id", "left")
+    keep = lang_fn.is_english(F.col("text"), F.col("detected"), P.cjk_max, P.min_language_chars)
+    return rows.filter(keep).select("article_id")
 
 
-@query("language_profile")
+@query("language_profile", """
+    SELECT article_id, lang, detected FROM headlines JOIN held_out ON doc_id = article_id AND held LEFT JOIN detected USING (article_id)""")
 def _(v):
-    profiles = language.train_profiles(v.texts)
-    found = language.detect_language(v.texts, profiles, "article_id")
-    return v.texts.select("article_id", "lang").join(found, "article_id", "left")
+    """What is detected for texts that the profiles have not seen."""
+    held = v.headlines.filter(F.crc32(F.col("article_id").cast("string")) % 3 == 1)
+    return held.select("article_id", "lang").join(v.detected(held.select("article_id", "text")), "article_id", "left")
 
 
 @query("phrase_blocklist", """
@@ -775,18 +777,19 @@ def _(v):
       count(*) FILTER (kept AND english) AS n_english, count(*) FILTER (kept AND english AND score >= 5.0) AS n_passed
     FROM (SELECT *, n_fresh > 0 AND NOT claimed AS kept FROM (
       SELECT batch_id, url_hash, count(*) AS n, count(*) FILTER (fresh) AS n_fresh,
-        arg_min(length(t) < 20 OR lang = 'en', seq) FILTER (fresh) AS english, arg_min(score, seq) FILTER (fresh) AS score,
+        arg_min(length(t) < 20 OR coalesce(detected, 'en') = 'en', seq) FILTER (fresh) AS english, arg_min(score, seq) FILTER (fresh) AS score,
         coalesce(any_value(claimed_s) > max(now_s) - 864000, false) AS claimed
-      FROM (SELECT k.*, claimed_s, max(published_s) OVER (PARTITION BY batch_id) AS now_s,
+      FROM (SELECT k.*, detected, claimed_s, max(published_s) OVER (PARTITION BY batch_id) AS now_s,
           published_s >= max(published_s) OVER (PARTITION BY batch_id) - 10800 AS fresh,
           regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g') AS t
-        FROM keyed k LEFT JOIN (
+        FROM keyed k LEFT JOIN detected USING (article_id) LEFT JOIN (
           SELECT url_hash, max((SELECT max(published_s) FROM articles) - CASE WHEN quality = 1 THEN 9 ELSE 11 END * 86400) AS claimed_s
           FROM keyed JOIN labels ON doc_id = article_id WHERE toxic = 1 GROUP BY 1) c USING (url_hash))
       GROUP BY 1, 2)) GROUP BY 1""")
 def _(v):
     clock = v.articles.groupBy("batch_id").agg(F.max("published_at").alias("as_of"))
-    rows = v.articles.join(clock, "batch_id")
+    found = v.detected(v.headlines.select("article_id", "text")).withColumnRenamed("detected", "lang")
+    rows = v.articles.drop("lang").join(found, "article_id", "left").join(clock, "batch_id")
     return ingest.funnel_report(rows, _claims(v), "as_of", P, ["batch_id"])
 
 
@@ -808,26 +811,36 @@ def _(v):
     return entities.entity_tokens(v.texts, v.patterns, "article_id")
 
 
-_VERB_SQL = r"""
-    SELECT article_id, arg_min(pos, k) AS verb_pos, arg_min(event_type, k) AS event_type, arg_min(verb, k) AS verb FROM (
-      SELECT article_id, pos, pos * 10 + f AS k, l.verb, l.event_type FROM (
-        SELECT article_id, pos, unnest(range(7)) AS f, unnest([lower(w), regexp_replace(lower(w), 's$', ''), regexp_replace(lower(w), 'es$', ''),
-          regexp_replace(lower(w), 'd$', ''), regexp_replace(lower(w), 'ed$', ''), regexp_replace(lower(w), 'ing$', ''),
-          regexp_replace(lower(w), 'ing$', 'e')]) AS form
-        FROM (SELECT article_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM first_words))
-      JOIN (SELECT unnest(['er', 'thr', 're', 'wh', 'rest', 'ou', 'ther']) AS verb,
-        unnest(['statement', 'statement', 'attack', 'attack', 'meeting', 'meeting', 'protest']) AS event_type) l ON l.verb = form)
-    GROUP BY 1"""
+_LEXICON = entities.EVENT_VERBS | {verb: kind for kind, verbs in LEXICON.items() for verb in verbs}
+_FORMS_SQL = f"""
+    forms AS (SELECT form, verb, event_type, min(rule) AS rule FROM (
+      SELECT verb, event_type, unnest(range(len(f))) AS rule, unnest(f) AS form FROM (
+        SELECT verb, event_type, list_concat([verb,
+            CASE WHEN regexp_matches(verb, '[^aeiou]y$') THEN verb[:-2] || 'ies' WHEN regexp_matches(verb, '(s|x|z|ch|sh|o)$') THEN verb || 'es' ELSE verb || 's' END,
+            CASE WHEN verb LIKE '%e' THEN verb || 'd' WHEN regexp_matches(verb, '[^aeiou]y$') THEN verb[:-2] || 'ied' ELSE verb || 'ed' END,
+            CASE WHEN verb LIKE '%ie' THEN verb[:-3] || 'ying' WHEN regexp_matches(verb, '[^eoy]e$') THEN verb[:-2] || 'ing' ELSE verb || 'ing' END,
+            CASE WHEN regexp_matches(verb, '[^aeiou][aeiou][bcdfghjklmnpqrtvz]$') THEN verb || verb[-1] || 'ed' END,
+            CASE WHEN regexp_matches(verb, '[^aeiou][aeiou][bcdfghjklmnpqrtvz]$') THEN verb || verb[-1] || 'ing' END],
+          coalesce(irregular, [])) AS f
+        FROM (SELECT unnest({list(_LEXICON)!r}) AS verb, unnest({list(_LEXICON.values())!r}) AS event_type)
+        LEFT JOIN (SELECT unnest({list(entities.IRREGULAR)!r}) AS verb, unnest({[list(x) for x in entities.IRREGULAR.values()]!r}) AS irregular) USING (verb)))
+      WHERE form IS NOT NULL GROUP BY 1, 2, 3)"""
+_FIRST_WORDS_SQL = r"""
+    first_words AS (SELECT article_id, list_transform(regexp_split_to_array(s, '\s+'), lambda w: regexp_replace(regexp_replace(
+        regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g'), '(’s|''s)$', ''), '(\p{Ll})\.$', '\1')) AS ws
+      FROM (SELECT article_id, regexp_replace(regexp_extract(regexp_replace(t, '^\s+|\s+$', '', 'g'), '^(?s:(.*?))(?:[.!?]\s|\n|$)', 1)
+        || coalesce(regexp_extract(regexp_replace(t, '^\s+|\s+$', '', 'g'), '^(?s:.*?)(?:([.!?])\s|\n|$)', 1), ''), '^\s+|\s+$', '', 'g') AS s
+        FROM (SELECT doc_id AS article_id, 'They ' || {said}[doc_id % {n} + 1] || ' ' || text AS t FROM documents WHERE lang = 'en')))
+    """.replace("{said}", repr(list(SAID))).replace("{n}", str(len(SAID)))
 
 
 @query("event_type_tag", f"""
-    WITH RECURSIVE first_words AS (SELECT article_id, list_transform(regexp_split_to_array(s, '\\s+'), lambda w: regexp_replace(regexp_replace(
-        regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}.]+$', '', 'g'), '(’s|''s)$', ''), '(\\p{{Ll}})\\.$', '\\1')) AS ws
-      FROM (SELECT doc_id AS article_id, regexp_replace(regexp_extract(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^(?s:(.*?))(?:[.!?]\\s|\\n|$)', 1)
-        || coalesce(regexp_extract(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^(?s:.*?)(?:([.!?])\\s|\\n|$)', 1), ''), '^\\s+|\\s+$', '', 'g') AS s
-        FROM documents WHERE lang = 'en')) {_VERB_SQL.replace("SELECT article_id, arg_min(pos, k) AS verb_pos, arg_min(event_type, k) AS event_type, arg_min(verb, k) AS verb", "SELECT article_id, arg_min(event_type, k) AS event_type, arg_min(verb, k) AS verb", 1)}""")
+    WITH RECURSIVE {_FORMS_SQL}, {_FIRST_WORDS_SQL}
+    SELECT article_id, arg_min(event_type, k) AS event_type, arg_min(verb, k) AS verb FROM (
+      SELECT article_id, pos * 100 + rule AS k, f.verb, f.event_type
+      FROM (SELECT article_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM first_words) JOIN forms f ON f.form = lower(w)) GROUP BY 1""")
 def _(v):
-    return entities.verb_hits(v.texts.filter("lang = 'en'"), v.verbs, "article_id").select("article_id", "event_type", "verb")
+    return entities.verb_hits(v.reported.filter("lang = 'en'"), v.verbs, "article_id").select("article_id", "event_type", "verb")
 
 
 @query("actor_target")

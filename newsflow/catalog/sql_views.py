@@ -24,6 +24,27 @@ VIEWS = {
     "headlines": """
         SELECT article_id, lang,
           CASE WHEN article_id % 13 = 0 THEN '习惯高油价吧 - ' ELSE '' END || title || ' ' || description AS text FROM articles""",
+    "letters": """
+        SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents""",
+    "held_out": """
+        SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+          lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 3 = 1 AS held
+        FROM documents""",
+    "profile_counts": """
+        SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
+          FROM letters JOIN held_out USING (doc_id) WHERE NOT held AND lang IS NOT NULL) GROUP BY 1, 2""",
+    "profiles": """
+        SELECT lang, gram, ln((coalesce(n, 0) + 1) / (total + v)) AS log_p
+        FROM (SELECT * FROM (SELECT DISTINCT gram FROM profile_counts), (SELECT lang, sum(n) AS total FROM profile_counts GROUP BY 1),
+          (SELECT count(DISTINCT gram) AS v FROM profile_counts))
+        LEFT JOIN profile_counts USING (lang, gram)""",
+    "head_letters": """
+        SELECT article_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM headlines""",
+    "detected": """
+        SELECT article_id, arg_min(lang, (-score, lang)) AS detected FROM (SELECT article_id, lang, round(sum(n * log_p), 6) AS score FROM (
+            SELECT article_id, gram, count(*) AS n FROM (
+              SELECT article_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram FROM head_letters) GROUP BY 1, 2)
+          JOIN profiles USING (gram) GROUP BY 1, 2) GROUP BY 1""",
     "tokens": f"""
         SELECT article_id, batch_id, unnest({_TOKENS.format("title || ' ' || description")}) AS token FROM articles""",
     "batch_docs": "SELECT batch_id, count(*) AS n_docs FROM articles GROUP BY 1",

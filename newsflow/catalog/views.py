@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.text import compare_text, word_tokens
 from newsflow.functions.urls import url_hash
-from newsflow.operators import entities
-from newsflow.session import prepare
+from newsflow.operators import entities, language
+from newsflow.session import cut, prepare
 
 BASE = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 STEP = 300  # seconds between articles
 LEXICON = {"statement": ("er", "thr"), "attack": ("re", "wh"), "meeting": ("rest", "ou"), "protest": ("ther",)}
+#: Words put into first sentences: forms of lexicon verbs, and some that are none.
+SAID = (
+    "banned", "denied", "denies", "won", "met", "led", "struck", "ripped", "slammed", "rallied", "winning", "announces", "sued", "vetoes",
+    "booing", "today", "upheld", "plunging", "imposing", "quickly", "sentenced", "indicting", "backs", "settles", "deported",
+)
 MAJOR = ("src0", "src5", "src10")
 
 
@@ -169,9 +174,28 @@ class Views:
     def texts(self) -> DataFrame:
         return self.texts_of("documents").select(F.col("doc_id").alias("article_id"), "text", "lang")
 
+    @cached_property
+    def profiles(self) -> DataFrame:
+        """Language profiles of two cycles of labelled texts, a third of them held out by the checksum of their ids."""
+        d = F.col("article_id")
+        learned = self.texts.filter(F.crc32(d.cast("string")) % 3 != 1)
+        parts = [language.profile_counts(learned.filter(d % 2 == n)) for n in (0, 1)]
+        return cut(language.profiles_of(language.merged_counts(parts)))
+
+    def detected(self, texts: DataFrame) -> DataFrame:
+        """`article_id, detected` of rows with a text, from the text alone."""
+        return language.detect_language(texts, self.profiles, "article_id")
+
+    @cached_property
+    def reported(self) -> DataFrame:
+        """Texts whose first sentence begins with a reporter's word."""
+        word = F.get(F.split(F.lit(" ".join(SAID)), " "), (F.col("article_id") % len(SAID)).cast("int"))
+        return self.texts.withColumn("text", F.concat(F.lit("They "), word, F.lit(" "), "text"))
+
     @cached_property
     def verbs(self) -> DataFrame:
-        return entities.lexicon(self.spark, {verb: kind for kind, verbs in LEXICON.items() for verb in verbs})
+        """The whole lexicon, and word fragments that the invented texts have."""
+        return entities.lexicon(self.spark, entities.EVENT_VERBS | {verb: kind for kind, verbs in LEXICON.items() for verb in verbs})
 
     @cached_property
     def article_entities(self) -> DataFrame:

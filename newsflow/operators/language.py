@@ -20,9 +20,26 @@ def _counted(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def profile_counts(texts: DataFrame) -> DataFrame:
+    """`lang, gram, n` of labelled texts. Counts of several sets of texts add up, so each cycle may bring its own."""
+    return _counted(texts.filter("lang IS NOT NULL"), ["lang"])
+
+
+def merged_counts(parts: list[DataFrame]) -> DataFrame:
+    """One table of counts from those of several cycles; rows are bounded by the alphabet, not by the cycles."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def train_profiles(texts: DataFrame) -> DataFrame:
+    return profiles_of(profile_counts(texts))
+
+
+def profiles_of(counts: DataFrame) -> DataFrame:
     """`lang, gram, log_p` with add-one smoothing; rows are bounded by the alphabet, not by the texts."""
-    counts = cut(_counted(texts, ["lang"]))
+    counts = cut(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = counts.select("gram").distinct()
     # One row per gram and language; the languages are few and come as one array value.

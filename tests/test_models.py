@@ -31,6 +31,23 @@ def test_language_profiles(spark):
     assert {r.id: r.detected for r in found.collect()} == {7: "en", 8: "fr"}
 
 
+def test_counts_of_cycles_add_up(spark):
+    df = spark.createDataFrame(TEXTS, "id long, lang string, text string")
+    parts = [language.profile_counts(df.filter(f"id % 2 = {n}")) for n in (0, 1)]
+    key = lambda rows: sorted((r.lang, r.gram, r.n) for r in rows.collect())
+    assert key(language.merged_counts(parts)) == key(language.profile_counts(df))
+
+
+def test_held_out_texts_are_recognised(spark):
+    """Profiles learn from two thirds of the documents; the others tell how good they are."""
+    from newsflow.catalog.queries import QUERIES
+    from newsflow.catalog.views import Views
+
+    rows = QUERIES["language_profile"](Views(spark, "/root/testdata/sf0.001")).collect()
+    assert len(rows) > 40
+    assert sum(r.lang == r.detected for r in rows) >= 0.9 * sum(r.detected is not None for r in rows)
+
+
 def test_tfidf_vectors(spark):
     df = spark.createDataFrame([(1, "red fox runs"), (2, "red fox runs"), (3, "blue whale swims"), (4, "")], "id long, text string")
     v = {r.id: r.embedding for r in tfidf_vectors(df, "id", 64).collect()}
