@@ -34,7 +34,7 @@ class Packing:
     #: Exchanges between partitions that miss their bound.
     rounds: int = 3
     #: Words and parts of words whose ids a worker keeps; beyond it starts anew.
-    cached_words: int = 800_000
+    cached_words: int = 1_200_000
 
 
 #: Texts of these characters alone are lower-cased, split and looked up word by word; the rest go to the tokenizer whole.
