@@ -329,14 +329,25 @@ def _(v):
     return held.select("article_id", "lang").join(v.detected(held.select("article_id", "text")), "article_id", "left")
 
 
-@query("phrase_blocklist", """
-    SELECT article_id FROM articles WHERE NOT EXISTS (SELECT 1 FROM (
-      SELECT DISTINCT lower(string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4]) AS phrase FROM benchmark)
-      WHERE phrase <> '' AND contains(lower(title || ' ' || description || ' ' || text), phrase))""")
-def _(v):
+PHRASES_SQL = """
+    WITH RECURSIVE phrases AS (
+      SELECT lower(string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4]) AS phrase FROM benchmark
+      UNION SELECT lower(trim(p)) FROM (SELECT unnest(string_split(text, '.')) AS p FROM benchmark) WHERE length(trim(p)) >= 20)
+    SELECT article_id FROM articles WHERE NOT EXISTS (
+      SELECT 1 FROM phrases WHERE phrase <> '' AND contains(lower(title || ' ' || description || ' ' || text), phrase))"""
+
+
+def _phrases(v: Views) -> DataFrame:
+    """A pair of words and the sentences of each passage: phrases of two words to some hundred letters."""
     w = F.split("text", " ")
-    phrases = v.table("benchmark").select(F.concat(w[2], F.lit(" "), w[3]).alias("phrase"))
-    return select.without_phrases(v.spread_articles, ["title", "description", "text"], phrases).select("article_id")
+    pairs = v.table("benchmark").select(F.concat(w[2], F.lit(" "), w[3]).alias("phrase"))
+    sentences = v.table("benchmark").select(F.explode(F.split("text", r"\.")).alias("p")).select(F.trim("p").alias("phrase"))
+    return pairs.unionByName(sentences.filter(F.length("phrase") >= 20))
+
+
+@query("phrase_blocklist", PHRASES_SQL)
+def _(v):
+    return select.without_phrases(v.spread_articles, ["title", "description", "text"], _phrases(v)).select("article_id")
 
 
 @query("score_gate", "SELECT article_id, llm_score AS score FROM scores WHERE llm_score >= 5.0")

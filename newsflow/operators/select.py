@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import blank_to_null, contains_any, is_weekday, json_ranks
+from newsflow.operators import phrases as phrases_of
 from newsflow.params import Params
 
 
@@ -55,8 +56,9 @@ def pool_eligible(pool: DataFrame, as_of, max_age_hours: float, score_floor: flo
 def without_phrases(rows: DataFrame, columns: list[str], phrases) -> DataFrame:
     """Drop rows whose lower-cased columns, joined by blanks, contain a phrase.
 
-    `phrases` is a tuple of parameters, which becomes one expression, or a table with a `phrase` column, which
-    is joined on the first letters of each phrase whatever its size. Either is lower-cased.
+    `phrases` is a tuple of parameters, which becomes one expression, or a table with a `phrase` column: tables of a
+    checked size become automata that read each text once, larger ones are joined on the first letters of each phrase.
+    Either is lower-cased.
     """
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
     if isinstance(phrases, DataFrame):
@@ -65,6 +67,15 @@ def without_phrases(rows: DataFrame, columns: list[str], phrases) -> DataFrame:
 
 
 def _without_phrase_table(rows: DataFrame, text: Column, table: DataFrame) -> DataFrame:
+    of = phrases_of.shards(table)
+    if not of:
+        return _without_joined_phrases(rows, text, table)
+    for shard in range(of):
+        rows = rows.filter(~phrases_of.holds_any(text, table, shard, of))
+    return rows
+
+
+def _without_joined_phrases(rows: DataFrame, text: Column, table: DataFrame) -> DataFrame:
     size = table.agg(F.min(F.length("phrase"))).first()[0]
     if size is None:
         return rows

@@ -107,6 +107,30 @@ def test_phrases_as_parameters_and_table_agree(spark):
     assert select.without_phrases(rows, ["title"], table.limit(0)).count() == 5
 
 
+@pytest.mark.parametrize("how", ["one automaton", "many automata", "join"])
+def test_phrases_of_any_length(spark, monkeypatch, how):
+    from newsflow.operators import phrases as phrases_of
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    listed = [word(n) for n in (1, 2, 3, 7, 30, 120, 500) for _ in range(6)]
+    listed = [p for p in listed if p.strip() and (len(p) > 3 or "é" in p)] + ["Éa b", "日本", "a\nb"]
+    texts = ["".join(rng.choice("bc xyz") for _ in range(60)) for _ in range(80)]
+    for n, phrase in enumerate(listed):
+        texts += ["xyz " + phrase + " z", "zz" + phrase[:-1], phrase.upper()][: 1 + n % 3]
+    texts += ["", None, "y" * 30_000 + listed[-1]]
+    monkeypatch.setattr(phrases_of, "SHARD_BYTES", 8 << 20 if how == "one automaton" else 2_000)
+    monkeypatch.setattr(phrases_of, "TRAVEL_BYTES", -1 if how == "join" else 64 << 20)
+    rows = spark.createDataFrame([(n, t, 1) for n, t in enumerate(texts)], "id long, title string, phrase int")
+    table = spark.createDataFrame([(p,) for p in listed] + [("",), (None,)], "phrase string")
+    got = select.without_phrases(rows, ["title"], table)
+    assert got.columns == rows.columns
+    want = {n for n, t in enumerate(texts) if not any(p.lower() in (t or "").lower() for p in listed)}
+    assert {r.id for r in got.collect()} == want and 0 < len(want) < len(texts)
+    if how != "join":
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_guard_drops_rehash_only(spark):
     matches = spark.createDataFrame(
         [(1, "e", 0.8), (2, "e", 0.79), (3, "f", 0.95), (4, None, None)],
