@@ -180,8 +180,18 @@ def _(v):
 @query("history_retention", """
     SELECT article_id, published_s FROM vectors WHERE published_s >= (SELECT max(published_s) FROM vectors) - 86400""")
 def _(v):
-    now = v.vectors.agg(F.max("published_at").alias("m")).scalar()
-    return tables.retained(v.vectors, now, 1).select("article_id", seconds("published_at").alias("published_s"))
+    """A history of four cycles below a folder, from which the retention job deletes what is too old."""
+    store = tables.Tables(v.spark, fresh_path(v.spark, "history"))
+    last = v.vectors.agg(F.max("batch_id").alias("m")).scalar()
+    rows = v.vectors.select(
+        "article_id", "url", url_hash(F.col("url")).alias("url_hash"), F.lit("").alias("content"), "published_at", "embedding",
+        F.floor(F.col("batch_id") * 4 / (last + 1)).alias("landing"),
+    )
+    for cycle in range(4):
+        store.commit(cycle, {"article_vectors": rows.filter(F.col("landing") == cycle).drop("landing")})
+    store.expire("article_vectors", v.vectors.agg(F.max("published_at") - F.expr("INTERVAL 1 DAY")).first()[0])
+    store.vacuum()
+    return store.read("article_vectors").select("article_id", seconds("published_at").alias("published_s"))
 
 
 # --- expressions --------------------------------------------------------------------------------

@@ -180,8 +180,7 @@ def run(
         "decisions": evidence.decisions_before_accept(decided).withColumn("logged_at", now),
         "url_claims": new.select("url_hash", now.alias("claimed_at")),
     }
-    for name, rows in writes.items():
-        tables.write(name, rows, cycle)
+    tables.commit(cycle, writes)
     return tables.read("pool").filter(F.col("cycle") == cycle)
 
 

@@ -94,8 +94,7 @@ def run(tables: Tables, cycle: int, as_of, inputs: Inputs, params: Params = Para
         ),
         "event_flags": state.mark_published(hit, now),
     }
-    for name, rows in writes.items():
-        tables.write(name, rows, cycle)
+    tables.commit(cycle, writes)
     return export(winner, inputs.meta, now)
 
 

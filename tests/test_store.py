@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from newsflow.operators import pages
@@ -57,3 +59,70 @@ def test_funnel_counts_claims_inside_their_time_only(spark):
     )).alias("c")).select("c.*")
     got = ingest.funnel_report(rows, claims, "as_of", Params(), ["batch"]).first()
     assert (got.n_raw, got.n_new) == (3, 2)
+
+
+def points(spark, ids, at=T0):
+    rows = [(i, f"e{i % 3}", "s", f"u{i}", at, [1.0]) for i in ids]
+    return spark.createDataFrame(rows, SCHEMAS["event_points"])
+
+
+def test_reader_sees_all_tables_of_a_cycle_or_none(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    sources = lambda *names: spark.createDataFrame([("e", n) for n in names], SCHEMAS["event_sources"])
+    tables.commit(1, {"event_points": points(spark, [1, 2]), "event_sources": sources("a")})
+    broken = spark.range(1).select(F.raise_error(F.lit("lost")).cast("string").alias("event_id"), F.lit("x").alias("source_name"))
+    state = lambda: (Tables(spark, str(tmp_path)).read("event_points").count(), Tables(spark, str(tmp_path)).read("event_sources").count())
+    with pytest.raises(Exception, match="lost"):
+        tables.commit(2, {"event_points": points(spark, [3]), "event_sources": broken})
+    assert state() == (2, 1)
+    tables.commit(2, {"event_points": points(spark, [3]), "event_sources": sources("b", "c")})
+    assert state() == (3, 3)
+    # The cycle again: it replaces itself, a reader that began before sees what it saw.
+    early = Tables(spark, str(tmp_path))
+    assert early.read("event_sources").count() == 3
+    tables.commit(2, {"event_points": points(spark, [3, 4]), "event_sources": sources("d")})
+    assert early.read("event_sources").count() == 3 and state() == (4, 2)
+    assert Tables(spark, str(tmp_path)).read("event_points", 2).count() == 2
+    # The folders of the attempt that failed, and those of the cycle's first run.
+    assert Tables(spark, str(tmp_path)).vacuum() == 4 and state() == (4, 2)
+
+
+def test_compacted_tables_answer_alike(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    blank = {c: F.lit("") for c in "representative_text canonical_title canonical_summary event_type canonical_action actor target".split()}
+    for cycle in range(1, 7):
+        rows = [(f"e{i}", float(cycle), T0, T0) for i in range(cycle % 3, 6)]
+        events = spark.createDataFrame(rows, "event_id string, heat_score double, first_seen_at timestamp, last_updated_at timestamp").withColumns(blank)
+        tokens = spark.createDataFrame([(f"e{cycle % 2}", "t", cycle, cycle == 3), ("e1", f"t{cycle}", 1, False)], SCHEMAS["event_tokens"])
+        flags = spark.createDataFrame([("e2", T0 + timedelta(hours=cycle))], SCHEMAS["event_flags"])
+        tables.commit(cycle, {"events": events, "event_tokens": tokens, "event_flags": flags})
+    def state():
+        now = Tables(spark, str(tmp_path))
+        core = now.read("event_tokens").groupBy("event_id", "token").agg(F.sum("df"), F.bool_or("is_seed"))
+        return sorted(map(tuple, now.events().collect())), sorted(map(tuple, core.collect()))
+    before = state()
+    for name in ("events", "event_tokens", "event_flags"):
+        tables.compact(name, 4)
+        assert len(tables.folders(name)) == 3
+    assert state() == before
+    assert Tables(spark, str(tmp_path)).vacuum() == 12 and state() == before
+    tables.compact("events", 6)
+    assert state() == before and len(tables.folders("events")) == 1
+
+
+def test_retention_drops_folders_and_rewrites_the_rest(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    for cycle, days in enumerate((30, 20, 10, 0)):
+        rows = points(spark, [10 * cycle], T0 - timedelta(days=days)).unionByName(points(spark, [10 * cycle + 1], T0 - timedelta(days=days - 6)))
+        tables.commit(cycle, {"event_points": rows})
+    tables.expire("event_points", T0 - timedelta(days=17))
+    left = lambda: sorted(r.point_id for r in Tables(spark, str(tmp_path)).read("event_points").collect())
+    assert left() == [11, 20, 21, 30, 31] and {e.cycle for e in tables.folders("event_points")} == {1, 2, 3}
+    files = lambda: len(list(tmp_path.glob("event_points/*")))
+    assert files() == 5 and Tables(spark, str(tmp_path)).vacuum() == 2 and files() == 3 and left() == [11, 20, 21, 30, 31]
+    tables.compact("event_points", 2)
+    tables.expire("event_points", T0 - timedelta(days=9))
+    assert left() == [21, 30, 31]
+    tables.expire("event_points", T0 + timedelta(days=99))
+    assert left() == [] and Tables(spark, str(tmp_path)).vacuum() > 0
+    tables.expire("event_points", T0)
