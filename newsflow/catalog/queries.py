@@ -17,7 +17,7 @@ from newsflow.functions.vectors import cosine
 from newsflow.operators import clustering, dedup, entities, evidence, heat, pages, scanjoin, select, simjoin, state
 from newsflow.params import Params
 from newsflow.plans import ingest
-from newsflow.session import fresh_path
+from newsflow.session import cut, fresh_path
 from newsflow.sources import feeds, tables
 
 # The derived vectors are less alike than real articles: lower floors and shorter windows.
@@ -149,15 +149,36 @@ def _(v):
     return select.pool_unsent(v.pool, v.send_log).select("article_id", "cycle", "score")
 
 
+DECISION = (
+    "cluster_id bigint, event_id string, cosine double, rule_verdict string, final_verdict string, accepted boolean, candidate_url string, "
+    "candidate_text string, matched_text string, same_raw string, subtype_raw string, multiplier double, logged_at timestamp"
+)
+
+
 @query("decision_log", """
-    SELECT cluster_id, event_id, rule_verdict, accepted, (SELECT max(published_s) FROM articles) AS logged_s FROM judged""")
-def _(v):
-    record = F.to_json(F.struct(
-        v.latest.alias("logged_at"), "cluster_id", "event_id", "rule_verdict", "accepted",
-    ))
-    back = F.from_json("record", "logged_at timestamp, cluster_id bigint, event_id string, rule_verdict string, accepted boolean")
-    rows = _judged(v).select(record.alias("record")).select(back.alias("r")).select("r.*")
-    return rows.select("cluster_id", "event_id", "rule_verdict", "accepted", seconds("logged_at").alias("logged_s"))
+    SELECT j.cluster_id, j.event_id, j.cosine, rule_verdict,
+      CASE WHEN rule_verdict = 'NO_OVERLAP' THEN 'UNRELATED' WHEN accepted THEN 'SAME_OCCURRENCE' ELSE 'RELATED_DIFFERENT_EVENT' END AS final_verdict,
+      accepted, a.url AS candidate_url, a.title || chr(10) || a.description AS candidate_text, e.representative_text AS matched_text,
+      CASE l.quality WHEN 1 THEN 'VERDICT: SAME_EVENT' || chr(10) || 'REASON: x' WHEN 0 THEN 'reason: y' || chr(10) || 'verdict (final): different_event' END AS same_raw,
+      CASE l.toxic WHEN 1 THEN 'SUBTYPE: CORE_UPDATE' WHEN 0 THEN 'Subtype: restatement' END AS subtype_raw,
+      CASE WHEN accepted THEN weight ELSE CAST(1.0 AS DOUBLE) END AS multiplier, (SELECT max(published_s) FROM articles) AS logged_s
+    FROM judged j JOIN articles a ON a.article_id = j.cluster_id JOIN event_texts e ON e.event_id = j.event_id
+    LEFT JOIN labels l ON l.doc_id = j.cluster_id AND j.event_id = 'ev' || (l.doc_id // 10 - 1)""")
+def _(v):
+    """All decisions with the texts and answers they rest on, appended as JSON lines in two cycles and read back."""
+    path = fresh_path(v.spark, "decisions")
+    texts = v.articles.select(
+        F.col("article_id").alias("cluster_id"), F.col("url").alias("candidate_url"),
+        text_fn.compare_text(F.col("title"), F.col("description")).alias("candidate_text"),
+    )
+    rows = cut(
+        _judged(v).join(v.verdicts, ["cluster_id", "event_id"], "left").join(texts, "cluster_id")
+        .join(v.event_texts.withColumnRenamed("representative_text", "matched_text"), "event_id").withColumn("logged_at", v.latest)
+    )
+    for rank in (1, 2):
+        tables.write_json_lines(rows.filter(F.col("rank") == rank).select(*[c.split()[0] for c in DECISION.split(", ")]), path)
+    back = v.spark.read.schema(DECISION).json(path)
+    return back.withColumn("logged_s", seconds(F.col("logged_at"))).drop("logged_at")
 
 
 @query("post_export", r"""
@@ -170,10 +191,10 @@ def _(v):
         F.col("published_at").alias("as_of"), F.lit("u1").alias("user_id"), F.col("description").alias("preview_description"),
         F.lit("").alias("preview_image"), F.col("url").alias("preview_url"), F.col("title").alias("preview_title"),
     ))
-    data = F.get_json_object("record", "$.data")
-    return rows.select(
-        "article_id", joined(F.json_object_keys(data)).alias("fields"),
-        F.get_json_object("record", "$.data.txt").alias("txt"), F.get_json_object("record", "$.data.dsc").alias("dsc"),
+    # One pass over the record gives its fields.
+    data = F.from_json(F.col("record"), "data map<string,string>")["data"]
+    return rows.select("article_id", data.alias("data")).select(
+        "article_id", joined(F.map_keys("data")).alias("fields"), F.col("data")["txt"].alias("txt"), F.col("data")["dsc"].alias("dsc"),
     )
 
 
@@ -501,16 +522,16 @@ def _(v):
 
 @query("description_backfill", r"""
     SELECT a.article_id, CASE WHEN a.description <> '' THEN a.description ELSE coalesce(m.d, '') END AS description
-    FROM articles a LEFT JOIN (SELECT page_id, trim(regexp_replace(replace(replace(replace(translate('About ' ||
-        regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '"''', ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS d
-      FROM pages WHERE page_id % 4 <> 1) m ON m.page_id = a.article_id""")
-def _(v):
-    meta = pages.page_meta(v.pages, P.cjk_meta_max).select("page_id", "preview_description")
-    by_url = v.articles.select("article_id", "url").join(meta, F.col("page_id") == F.col("article_id")).select(
-        F.concat("url", F.lit("|"), "article_id").alias("url"), "preview_description"
-    )
-    rows = v.articles.withColumn("url", F.concat("url", F.lit("|"), "article_id"))
-    return pages.description_backfill(rows, by_url).select("article_id", "description")
+    FROM (SELECT article_id, description, coalesce(p.url, a.url) AS url FROM articles a LEFT JOIN pages p ON p.page_id = a.article_id) a
+    LEFT JOIN (SELECT url, max(d) AS d FROM (SELECT url, CASE WHEN page_id % 4 <> 1 THEN
+        trim(regexp_replace(replace(replace(replace(translate('About ' ||
+        regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '"''', ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) END AS d
+      FROM pages) GROUP BY 1) m ON m.url = a.url""")
+def _(v):
+    """Articles that link to the pages by the pages' own addresses."""
+    linked = v.table("pages").select(F.col("page_id").alias("article_id"), F.col("url").alias("page_url"))
+    rows = v.articles.join(linked, "article_id", "left").withColumn("url", F.coalesce("page_url", "url"))
+    return pages.description_backfill(rows, pages.page_meta(v.pages, P.cjk_meta_max)).select("article_id", "description")
 
 
 def _judged(v: Views) -> DataFrame:

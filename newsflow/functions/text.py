@@ -98,9 +98,9 @@ def post_text_without_url(post: Column, url: Column) -> Column:
 
 
 def is_declined(generated: Column) -> Column:
-    bare = strip(F.regexp_replace(generated, r"[*_`#]+", ""))
-    bare = strip(F.regexp_replace(bare, r"[.!]+$", ""))
-    return F.lower(bare) == "no comment"
+    """Nothing but "no comment", whatever marks it up and ends it. Anchored, so a longer text is left at once."""
+    bare = F.translate(generated, "*_`#", "")
+    return bare.rlike(rf"\A(?i:{_SPACE}*no comment{_SPACE}*[.!]*{_SPACE}*)\z")
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -48,9 +48,10 @@ def test_language_rule(spark):
 
 
 def test_declined(spark):
-    for raw in ("**No comment**.", "no comment", " `NO COMMENT`! ", "No comment.!"):
+    for raw in ("**No comment**.", "no comment", " `NO COMMENT`! ", "No comment.!", "no com*ment", "\u00a0no comment \u2003!!\n", "__No__ comment"):
         assert one(spark, text.is_declined(F.col("t")), t=raw) is True
-    assert one(spark, text.is_declined(F.col("t")), t="No comment from the White House") is False
+    for raw in ("No comment from the White House", "", "no  comment", "no comment. .", "no comment\nno comment", "nocomment", "* x no comment"):
+        assert one(spark, text.is_declined(F.col("t")), t=raw) is False
 
 
 def test_post_suffix_is_stripped_exactly(spark):
