@@ -956,18 +956,25 @@ def _(v):
     return select.publish_winner(rows, ["cycle"]).select("cycle", "article_id")
 
 
-@query("alert_debounce", """
+ALERTS_SQL = """
     WITH RECURSIVE tries AS (SELECT 'src' || (user_id % 20) AS source_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'error' AND user_id % 20 <> 3),
     chain AS (SELECT source_id, min(t) AS t FROM tries GROUP BY 1
       UNION ALL SELECT c.source_id, min(e.t) FROM chain c JOIN tries e ON e.source_id = c.source_id AND e.t >= c.t + 21600000000 GROUP BY c.source_id, c.t)
-    SELECT source_id, t AS sent_us FROM chain""")
-def _(v):
+    SELECT source_id, t AS sent_us FROM chain"""
+
+
+def alert_attempts(v: Views) -> DataFrame:
     n = F.col("user_id") % 20
-    tries = v.table("events").select(
-        F.when(n == 3, "").otherwise(F.concat(F.lit("src"), n.cast("string"))).alias("source_id"), F.col("ts").alias("at"),
-        (F.col("event_type") != "error").alias("delivered"),
+    return v.table("events").select(
+        F.when(n == 3, "").otherwise(F.concat(F.lit("src"), n.cast("string"))).alias("source_id"), F.col("ts").cast("timestamp").alias("at"),
+        (F.col("event_type") != "error").alias("delivered"), F.col("event_id").cast("bigint").alias("attempt_id"),
     )
-    return dedup.alerts_to_send(tries, P.alert_cooldown_seconds).select("source_id", F.unix_micros("sent_at").alias("sent_us"))
+
+
+@query("alert_debounce", ALERTS_SQL)
+def _(v):
+    sent = dedup.alerts_to_send(alert_attempts(v), P.alert_cooldown_seconds)
+    return sent.select("source_id", F.unix_micros("sent_at").alias("sent_us"))
 
 
 @query("late_drop", """

@@ -98,7 +98,7 @@ def test_both_kinds_of_feeds_and_broken_files(spark, tmp_path):
 def test_stream_claims_expire(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from newsflow.streaming.claims import stream_claims
+    from newsflow.streaming.claims import held_claims, stream_claims
 
     schema, landed, out = "url_hash string, seq long, at timestamp", str(tmp_path / "in"), str(tmp_path / "out")
     for t, rows in ((0, [("x", 2), ("x", 1)]), (9, [("x", 3), ("y", 4)]), (10, [("x", 5)]), (21, [("x", 6), ("y", 7)])):
@@ -109,3 +109,6 @@ def test_stream_claims_expire(spark, tmp_path):
             availableNow=True).start().awaitTermination()
     want = {("x", 1), ("y", 4), ("x", 5), ("x", 6), ("y", 7)}
     assert {(r.url_hash, r.seq) for r in spark.read.parquet(out).collect()} == want
+    # What the stream holds between two runs; the first claims have run out and left.
+    held = {(r.url_hash, int(r.claimed_at.timestamp()) - 1_700_000_000) for r in held_claims(spark, str(tmp_path / "s"), "url_hash").collect()}
+    assert {("x", 21), ("y", 21)} <= held and len(held) == 2
