@@ -920,7 +920,15 @@ def _(v):
     return pages.page_image(pages.page_meta(v.pages, P.cjk_meta_max)).select("page_id", "preview_image")
 
 
-@query("page_text")
+@query("page_text", r"""
+    SELECT page_id, regexp_replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(string_split(
+        regexp_replace(regexp_replace(regexp_replace(a, '(?i)</?(article|body|div|h[1-6]|html|li|p|ul)\b[^>]*>', chr(1), 'g'), '(?i)<br\b[^>]*>', ' ', 'g'),
+          '(?s)</?[a-zA-Z!?][^>]*>', '', 'g'), chr(1)),
+        lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;?', '&', 'g') AS page_text
+    FROM (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
+        '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', ' ', 'g'), '(?is)<h1\b[^>]*>.*?</h1\s*>', ' ', 'g'),
+        '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS a FROM pages)""")
 def _(v):
     return pages.page_text(v.texts_of("pages")).select("page_id", "page_text")
 

@@ -144,6 +144,29 @@ def test_page_text(spark):
     assert pages.page_text(df).first().page_text == "One & two\nthree four"
 
 
+PARAGRAPH = "This paragraph has a good number of words, so that it counts as running text."
+GOLDEN_PAGES = {
+    # Divisions, list items and table cells hold text as paragraphs do; unclosed ones end where the next begins.
+    f"<article><div>{PARAGRAPH}<ul><li>one<li>two <b>and</b> a half</ul><table><tr><td>cell</table><blockquote>said</blockquote></div></article>":
+        [PARAGRAPH, "one", "two and a half", "cell", "said"],
+    # Menus go, inside an article as well; a link within running text stays.
+    f"<article><ul><li><a href=/a>Home</a><li><a href=/b>News and more</a></ul><p>{PARAGRAPH} See <a href=x>here</a>.</article>":
+        [f"{PARAGRAPH} See here."],
+    # Without an article: text among text stays, words of the frame and lists of links do not.
+    f"<body><div>Login</div><div><a href=1>One</a> | <a href=2>Two</a></div><div><a href=3>Three</a></div><div><a href=4>Four</a></div>"
+    f"<div>{PARAGRAPH}<div>{PARAGRAPH}</div><ul><li>short item</ul></div></body>": [PARAGRAPH, PARAGRAPH, "short item"],
+    "<body><div>Login</div><p>Share</p></body>": [],
+    f"<main><section><h2>Head</h2>{PARAGRAPH}<br>1 &lt; 2 a < b</section></main><div>outside</div>": ["Head", f"{PARAGRAPH} 1 < 2 a < b"],
+    "": [], "no tags at all, yet enough words to count as the running text of a page": ["no tags at all, yet enough words to count as the running text of a page"],
+}
+
+
+def test_page_text_of_golden_pages(spark):
+    rows = spark.createDataFrame([(n, h, 1) for n, h in enumerate(GOLDEN_PAGES)] + [(99, None, 1)], "n int, html string, blocks int")
+    got = {r.n: r.page_text for r in pages.page_text(rows).collect()}
+    assert got == {n: "\n".join(t) for n, t in enumerate(GOLDEN_PAGES.values())} | {99: got[99]} and not got[99]
+
+
 def test_names(spark):
     names = spark.createDataFrame(
         [("congress", "Ann Lee", "Lee", True), ("cabinet", "Bob Stone", "Stone", False), ("notable", "Cy Oz", None, False),
