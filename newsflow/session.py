@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,22 +25,41 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. A local session without one gets a temporary folder."""
+    """This application's folder below the one that every executor sees; it is deleted when the application ends.
+
+    A local session without a shared folder gets a temporary one, a cluster session without it is refused.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    if configured:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(configured)
-        return configured
-    if not sc.getCheckpointDir():
+    if not configured:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="newsflow-"))
+        configured = _temporary(sc)
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    folder = f"{configured.rstrip('/')}/newsflow-{sc.applicationId}"
+    if folder not in _made:
+        target = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _made.add(folder)
+    return folder
+
+
+_made: set[str] = set()
+
+
+def _temporary(sc) -> str:
+    if not sc.getCheckpointDir():
+        folder = tempfile.mkdtemp(prefix="newsflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
