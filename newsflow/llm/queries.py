@@ -16,6 +16,8 @@ from newsflow.session import prepare
 
 #: Limits of the registered queries.
 SHARD_BYTES = 8 << 20
+#: A limit at which small tables split as well.
+SMALL_SHARD_BYTES = 64 << 10
 OP5 = near_dup.NearDuplicates(words=3, percent=85)
 
 
@@ -65,6 +67,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.directory(table(prepare(spark), folder, "documents"), SHARD_BYTES)
 
 
+def sharding_small(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.directory(table(prepare(spark), folder, "documents"), SMALL_SHARD_BYTES)
+
+
 def op11_one_bit_search(spark: SparkSession, folder: str) -> DataFrame:
     return one_bit_search.nearest(table(prepare(spark), folder, "embeddings"))
 
@@ -81,10 +87,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_best_fit_packing, op3_decontamination, op4_language_id, op5_near_duplicates, op6_suffix_dedup,
-        op7_chat_format, op8_quality_rules, op9_toxicity, op10_sharding, op11_one_bit_search, op12_source_divergence, op13_prefix_trie,
+        op7_chat_format, op8_quality_rules, op9_toxicity, op10_sharding, sharding_small, op11_one_bit_search, op12_source_divergence, op13_prefix_trie,
     )
 }
 
+def _sharding_sql(limit: int) -> str:
+    return f"""
+        WITH hashed AS (
+            SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h FROM documents
+        ), bits AS (
+            SELECT doc_id, n_bytes, (CAST(CAST('0x' || substr(h, 1, 8) AS UBIGINT) AS BIT)::VARCHAR)[33:] AS bits FROM hashed
+        ), levels AS (
+            SELECT doc_id, n_bytes, d AS depth, substr(bits, 1, CAST(d AS INT)) AS shard,
+                sum(n_bytes) OVER (PARTITION BY d, substr(bits, 1, CAST(d AS INT))) AS shard_bytes,
+                count(*) OVER (PARTITION BY d, substr(bits, 1, CAST(d AS INT))) AS shard_rows
+            FROM bits, range(0, 33) AS r(d)
+        ), first AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS n FROM levels
+            WHERE shard_bytes <= {limit} OR shard_rows = 1
+        )
+        SELECT doc_id, n_bytes, shard, CAST(depth AS INT) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {limit} AS oversized
+        FROM first WHERE n = 1
+    """
+
+
 SQL: dict[str, str] = {
     "op7_chat_format": r"""
         WITH told AS (
@@ -100,23 +126,8 @@ SQL: dict[str, str] = {
             CAST(sum(length(er) + length(et) + 23) AS BIGINT) AS formatted_chars
         FROM marked GROUP BY conv_id
     """,
-    "op10_sharding": f"""
-        WITH hashed AS (
-            SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h FROM documents
-        ), bits AS (
-            SELECT doc_id, n_bytes, (CAST(CAST('0x' || substr(h, 1, 8) AS UBIGINT) AS BIT)::VARCHAR)[33:] AS bits FROM hashed
-        ), levels AS (
-            SELECT doc_id, n_bytes, d AS depth, substr(bits, 1, CAST(d AS INT)) AS shard,
-                sum(n_bytes) OVER (PARTITION BY d, substr(bits, 1, CAST(d AS INT))) AS shard_bytes,
-                count(*) OVER (PARTITION BY d, substr(bits, 1, CAST(d AS INT))) AS shard_rows
-            FROM bits, range(0, 33) AS r(d)
-        ), first AS (
-            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS n FROM levels
-            WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
-        )
-        SELECT doc_id, n_bytes, shard, CAST(depth AS INT) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {SHARD_BYTES} AS oversized
-        FROM first WHERE n = 1
-    """,
+    "op10_sharding": _sharding_sql(SHARD_BYTES),
+    "sharding_small": _sharding_sql(SMALL_SHARD_BYTES),
     # Every pair of a query and a candidate; the operator reranks so widely that it finds the same.
     "op11_one_bit_search": r"""
         WITH rows AS (
