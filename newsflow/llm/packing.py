@@ -33,8 +33,8 @@ class Packing:
     rows_per_task: int = 50_000
     #: Exchanges between partitions that miss their bound.
     rounds: int = 3
-    #: Parts of words whose ids a worker keeps; beyond it starts anew.
-    cached_words: int = 1_000_000
+    #: Words and parts of words in one of the two generations whose ids a worker keeps.
+    cached_words: int = 550_000
 
 
 #: Texts of these characters alone are lower-cased, split and looked up word by word; the rest go to the tokenizer whole.
@@ -43,7 +43,7 @@ _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class Words:
-    """Token ids by parts of words: in this vocabulary the ids of a part do not depend on its neighbours."""
+    """Token ids by word: in this vocabulary the ids of a word do not depend on its neighbours."""
 
     def __init__(self, name: str, limit: int) -> None:
         import os
@@ -61,15 +61,28 @@ class Words:
             self.ends[i] = token.endswith("</w>")
         self.by_word = "word" in name
         self.limit = limit
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> None:
-        fresh = list(parts)
-        ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        raw, at = ids.tobytes(), 0
-        for part, end in zip(fresh, cuts.tolist(), strict=True):
-            self.parts[part], at = raw[at:end], end
+        #: Ids of words and of their parts; a part that stands alone is a word. Words not seen for a generation are dropped.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) > self.limit:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        known.update([(w, older[w]) for w in words if w in older])
+        split = {w: _PART.findall(w) for w in words if w not in known}
+        parts = {p for parts in split.values() for p in parts if p not in known}
+        known.update([(p, older[p]) for p in parts if p in older])
+        fresh = [p for p in parts if p not in known]
+        if fresh:
+            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(fresh, cuts.tolist(), strict=True):
+                known[part], at = raw[at:end], end
+        for word, parts in split.items():
+            if len(parts) != 1 or parts[0] != word:
+                known[word] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -77,13 +90,12 @@ class Words:
             if not self.by_word or _PLAIN.search(text) or any(t in text for t in self.added):
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
-            parts = _PART.findall(text.lower())
-            fresh = {p for p in parts if p not in self.parts}
+            words = text.lower().split()
+            known = self.words
+            fresh = {w for w in words if w not in known}
             if fresh:
-                if len(self.parts) + len(fresh) > self.limit:
-                    self.parts, fresh = {}, set(parts)
-                self.learn(fresh)
-            yield b"".join(map(self.parts.__getitem__, parts))
+                self.learn(fresh if len(known) <= self.limit else set(words))
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 _loaded: dict[tuple, Words] = {}
