@@ -70,14 +70,26 @@ def hub_token_score(hub_tokens: DataFrame) -> DataFrame:
     return hub_tokens.select("token", "event_id").distinct().groupBy("token").agg(F.count("*").alias("score"))
 
 
-def hub_pair_score(pairs: DataFrame, hub_tokens: DataFrame) -> DataFrame:
+def hub_counts(credits: DataFrame) -> DataFrame:
+    """What a cycle's new credits add to the score of each token."""
+    return credits.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def token_scores(counts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Scores of the given tokens, as sums of what each cycle added: the credits themselves are not counted again."""
+    wanted = tokens.select("token").distinct()
+    return counts.join(wanted, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("score"))
+
+
+def hub_pair_score(pairs: DataFrame, hub_tokens: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Distinct events in which both tokens of an asked-for pair are core tokens.
 
     A pair of an event is a pair of its tokens, so pairs are looked up, not stored: the rarer token
-    lists its events, and those are checked for the other token.
+    lists its events, and those are checked for the other token. Only credits of asked-for tokens are read further.
     """
-    held = hub_tokens.select("token", "event_id").distinct()
-    score = hub_token_score(held)
+    wanted = pairs.select(F.explode(F.array("token_a", "token_b")).alias("token")).distinct()
+    held = hub_tokens.select("token", "event_id").join(wanted, "token", "left_semi").distinct()
+    score = hub_token_score(held) if counts is None else token_scores(counts, wanted)
     asked = pairs.select(F.least("token_a", "token_b").alias("token_a"), F.greatest("token_a", "token_b").alias("token_b")).distinct()
     sized = asked.join(score.select(F.col("token").alias("token_a"), F.col("score").alias("na")), "token_a").join(
         score.select(F.col("token").alias("token_b"), F.col("score").alias("nb")), "token_b"
@@ -102,8 +114,9 @@ def hub_bump(core: DataFrame, hub_tokens: DataFrame) -> DataFrame:
 def identity_verdict(
     candidates: DataFrame, core: DataFrame, hub_tokens: DataFrame, frequencies: DataFrame | None,
     hub_events: int = 2, pair_events_max: int = 1, overlap_floor: float = 0.15, keys: list[str] = ("batch_id",),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Rule-tier verdict per (cluster_id, event_id).
+    """Rule-tier verdict per (cluster_id, event_id). With `counts` (see `hub_counts`) scores are summed, not counted anew.
 
     `candidates` has keys, cluster_id, event_id, new_tokens, and for the fallback of reports without
     tokens tokens_a, tokens_b (new and representative text), has_texts and n_docs.
@@ -111,7 +124,8 @@ def identity_verdict(
     ident = ["cluster_id", "event_id"]
     tokens = candidates.select(*ident, F.explode("new_tokens").alias("token"))
     # Read four times below: written once, it is four columns wide and no longer than the tokens.
-    shared = cut(tokens.join(core, ["event_id", "token"]).join(hub_token_score(hub_tokens), "token", "left"))
+    scores = hub_token_score(hub_tokens) if counts is None else token_scores(counts, tokens)
+    shared = cut(tokens.join(core, ["event_id", "token"]).join(scores, "token", "left"))
     facts = shared.groupBy(*ident).agg(
         F.count("*").alias("n_shared"),
         F.bool_or(F.coalesce("score", F.lit(0)) < hub_events).alias("has_rare"),
@@ -123,7 +137,7 @@ def identity_verdict(
     pairs = hubs.withColumnRenamed("token", "token_a").join(hubs.withColumnRenamed("token", "token_b"), ident).filter(
         "token_a < token_b"
     )
-    rare_pairs = hub_pair_score(pairs, hub_tokens).filter(F.col("score") <= pair_events_max)
+    rare_pairs = hub_pair_score(pairs, hub_tokens, counts).filter(F.col("score") <= pair_events_max)
     rare_pair = (
         pairs.join(rare_pairs, ["token_a", "token_b"], "left_semi")
         .select(*ident).distinct().withColumn("has_rare_pair", F.lit(True))

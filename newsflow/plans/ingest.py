@@ -85,7 +85,7 @@ def match_events(
     )
     judged = evidence.identity_verdict(
         candidates, core, tables.read("hub_tokens", cycle), evidence.doc_freq(corpus, ["cycle"]),
-        params.hub_events, params.pair_events_max, params.overlap_floor, keys=["cycle"],
+        params.hub_events, params.pair_events_max, params.overlap_floor, keys=["cycle"], counts=tables.read("hub_counts", cycle),
     )
     verdicts = inputs.verdicts(candidates) if callable(inputs.verdicts) else inputs.verdicts
     decided = cut(evidence.verdict_join(judged, verdicts, {
@@ -165,6 +165,8 @@ def run(
         params.core_doc_freq,
     )
     heat = changes.pop("assigned")
+    changes["hub_tokens"] = cut(changes["hub_tokens"])
+    changes["hub_counts"] = evidence.hub_counts(changes["hub_tokens"])
     pool = select.pool_row(
         full.join(heat, "cluster_id").withColumnRenamed("first_seen_at", "event_first_seen_at"), params.stored_chars
     ).withColumn("created_at", now)

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from newsflow.operators import pages
+from newsflow.operators import evidence, pages
 from newsflow.params import Params
 from newsflow.plans import ingest
 from newsflow.sources.tables import SCHEMAS, Tables
@@ -126,3 +126,23 @@ def test_retention_drops_folders_and_rewrites_the_rest(spark, tmp_path):
     tables.expire("event_points", T0 + timedelta(days=99))
     assert left() == [] and Tables(spark, str(tmp_path)).vacuum() > 0
     tables.expire("event_points", T0)
+
+
+def test_hub_scores_by_increments_equal_a_full_count(spark, tmp_path):
+    import random
+
+    rng, tables = random.Random(9), Tables(spark, str(tmp_path))
+    for cycle in range(20):
+        core = spark.createDataFrame({(f"t{int(rng.paretovariate(0.8)) % 40}", f"e{rng.randrange(6 * cycle, 6 * cycle + 12)}") for _ in range(25)}, "token string, event_id string")
+        credits = evidence.hub_bump(core, tables.read("hub_tokens"))
+        rows = spark.createDataFrame(credits.collect(), credits.schema)
+        tables.commit(cycle, {"hub_tokens": rows, "hub_counts": evidence.hub_counts(rows)})
+        if cycle in (7, 15):
+            tables.compact("hub_counts", cycle - 3)
+    credits, counts = tables.read("hub_tokens"), tables.read("hub_counts")
+    asked = spark.createDataFrame([(f"t{n}",) for n in range(0, 40, 3)], "token string")
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    full = evidence.hub_token_score(credits).join(asked, "token", "left_semi")
+    assert as_set(evidence.token_scores(counts, asked)) == as_set(full) and full.count() > 5
+    pairs = spark.createDataFrame([(f"t{a}", f"t{b}") for a in range(12) for b in range(a)], "token_a string, token_b string")
+    assert as_set(evidence.hub_pair_score(pairs, credits, counts)) == as_set(evidence.hub_pair_score(pairs, credits))
