@@ -33,8 +33,8 @@ class Packing:
     rows_per_task: int = 50_000
     #: Exchanges between partitions that miss their bound.
     rounds: int = 3
-    #: Words and parts of words in one of the two generations whose ids a worker keeps.
-    cached_words: int = 550_000
+    #: Words and parts of words whose ids a worker keeps; beyond it starts anew.
+    cached_words: int = 1_200_000
 
 
 #: Texts of these characters alone are lower-cased, split and looked up word by word; the rest go to the tokenizer whole.
@@ -61,19 +61,14 @@ class Words:
             self.ends[i] = token.endswith("</w>")
         self.by_word = "word" in name
         self.limit = limit
-        #: Ids of words and of their parts; a part that stands alone is a word. Words not seen for a generation are dropped.
+        #: Ids of words and of their parts; a part that stands alone is a word.
         self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > self.limit:
-            self.words, self.older = {}, self.words
-        known, older = self.words, self.older
-        known.update([(w, older[w]) for w in words if w in older])
-        split = {w: _PART.findall(w) for w in words if w not in known}
-        parts = {p for parts in split.values() for p in parts if p not in known}
-        known.update([(p, older[p]) for p in parts if p in older])
-        fresh = [p for p in parts if p not in known]
+        if len(self.words) + len(words) > self.limit:
+            self.words = {}
+        known, split = self.words, {w: _PART.findall(w) for w in words}
+        fresh = list({p for parts in split.values() for p in parts if p not in known})
         if fresh:
             ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -94,7 +89,9 @@ class Words:
             known = self.words
             fresh = {w for w in words if w not in known}
             if fresh:
-                self.learn(fresh if len(known) <= self.limit else set(words))
+                if len(known) + len(fresh) > self.limit:
+                    fresh = set(words)
+                self.learn(fresh)
             yield b"".join(map(self.words.__getitem__, words))
 
 
