@@ -26,10 +26,12 @@ class Rules:
     slots: int = 1 << 14
     #: At most so many documents labelled good stand for trusted text, those with the smallest hashes of their ids.
     trusted_documents: int = 20_000
-    #: Share of a slot's mean n-grams in the raw corpus below which it says nothing.
+    #: Share of a slot's mean n-grams in the raw corpus below which it says nothing, and n-grams that it needs anyway.
     min_share: float = 0.02
-    #: Share of the trusted n-grams by which their counts are drawn towards the raw corpus.
+    min_count: int = 20
+    #: Share of the trusted n-grams by which their counts are drawn towards the raw corpus, and n-grams per slot at least.
     prior_share: float = 0.05
+    prior: float = 4.0
     #: Mean log ratio in nats per n-gram below which a document goes.
     floor: float = -0.1
 
@@ -58,7 +60,8 @@ def slot_weights(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float
     """log P(slot | trusted) - log P(slot | raw); zeros without a trusted document.
 
     Trusted counts are smoothed towards the raw corpus and rare slots have no weight. Both go by shares of the n-grams
-    seen, so that a corpus and the same corpus many times over judge alike.
+    seen, so that a corpus and the same corpus many times over judge alike; a corpus too small for the least numbers keeps
+    what it cannot judge.
     """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     trusted = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_documents)
@@ -71,7 +74,8 @@ def slot_weights(docs: DataFrame, labels: DataFrame, rules: Rules) -> list[float
     if not sum(target):
         return [0.0] * rules.slots
     everything, trusted_grams = sum(raw), sum(target)
-    pull, least = rules.prior_share * trusted_grams, rules.min_share * everything / rules.slots
+    pull = max(rules.prior_share * trusted_grams, rules.prior * rules.slots)
+    least = max(rules.min_share * everything / rules.slots, rules.min_count)
     return [
         math.log((t * everything / r + pull) / (trusted_grams + pull)) if r and r >= least else 0.0 for t, r in zip(target, raw, strict=True)
     ]

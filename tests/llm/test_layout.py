@@ -15,7 +15,7 @@ PROBE = "</s>[INST] ok [/INST]"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
     rows = queries.QUERIES[name](spark, ROOT)
     expected = con.sql(queries.SQL[name])

@@ -156,7 +156,7 @@ def test_quality_equals_plain_python(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame([(*x, 1, True) for x in rows], SCHEMA + ", n_words int, kept boolean")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
-    rules = q.Rules(slots=256, floor=-0.02, min_share=0.1)
+    rules = q.Rules(slots=256, floor=-0.02, min_share=0.1, min_count=0, prior=0.0)
     weights = [0.0] * rules.slots
     plain = [plain_quality(t, rules, weights)[2] for t in texts]
     raw, good = [0] * rules.slots, [0] * rules.slots
@@ -184,7 +184,7 @@ def test_quality_does_not_depend_on_the_size_of_the_table(spark):
     for times in (1, 12):
         docs = spark.createDataFrame([(i + 1000 * k, t) for k in range(times) for i, t in enumerate(texts)], schema)
         labels = spark.createDataFrame([(i + 1000 * k, i % 3 and 1, 0) for k in range(times) for i in range(40)], "doc_id long, quality int, toxic int")
-        judged[times] = {x["doc_id"]: (round(x["score"], 6), x["kept"]) for x in q.quality(docs, labels).collect() if x["doc_id"] < 1000}
+        judged[times] = {x["doc_id"]: (round(x["score"], 6), x["kept"]) for x in q.quality(docs, labels, q.Rules(min_count=0, prior=0.0)).collect() if x["doc_id"] < 1000}
     assert judged[1] == judged[12] and {k for _, k in judged[1].values()} == {True, False}
 
 
