@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,13 @@ def test_ball_holds_its_rows():
     centre, radius = scanjoin.ball(units[:20])
     assert (scanjoin.reach(units, centre, radius) >= (units @ units[:20].T).max(axis=1)).all()
     assert scanjoin.ball(np.vstack([units, -units]))[1] == np.pi
+
+
+def test_points_meet_queries_in_bounded_chunks():
+    """A batch of many points becomes tables of a bounded number of rows, none lost."""
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(2500)), "vec": pa.array([[1.0, float(i)] for i in range(2500)])})
+    tables = list(scanjoin._chunks(iter([batch, batch.slice(0, 0)])))
+    assert max(t.num_rows for t in tables) <= scanjoin.POINT_ROWS
+    assert [i for t in tables for i in t.column("id").to_pylist()] == list(range(2500))
+    assert all(len(simjoin.unit_rows(t.column("vec"))) == t.num_rows for t in tables)
+    assert scanjoin.unit_rows(tables[1].column("vec"))[0] == pytest.approx([1 / (1 + 1024**2) ** 0.5, 1024 / (1 + 1024**2) ** 0.5])
