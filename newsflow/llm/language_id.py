@@ -41,6 +41,8 @@ class LanguageModel:
 
 #: Starts a word in the vocabulary.
 START = "▁"
+#: Characters of texts whose words are scored together.
+AT_ONCE = 1 << 20
 #: Left out on either side of a word.
 MARKS = ".,;:!?\"'()[]{}<>|/\\*#%&$+=_~`-–—…“”„«»‘’¿¡"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -149,47 +151,95 @@ class Scorer:
 
     def __init__(self, table: dict[str, list[float]], unseen: list[float], model: LanguageModel) -> None:
         known = vocabulary(model.vocabulary)
-        self.table = {s: table.get(s, unseen) for s in known}
+        self.table: dict[str, list[float] | None] = {s: table.get(s, unseen) for s in known}
+        #: Endings that are no pieces themselves: where none goes on, no longer piece ends.
+        for s in known:
+            for i in range(1, len(s)):
+                self.table.setdefault(s[i:], None)
         self.longest, self.unknown, self.width = max(map(len, known)), [model.unknown] * len(unseen), len(unseen)
         self.limit, self.places = model.cached_words, {}
         self.scores = np.empty((model.cached_words, len(unseen)))
+        #: The word scored last and its sums, unless it was rescaled.
+        self.last, self.sums = "", [[1.0] * self.width]
 
     def word(self, word: str) -> list[float]:
-        """The forward sum over all segmentations, rescaled where it gets small."""
+        """The forward sum over all segmentations, rescaled where it gets small.
+
+        The sums up to a place hang on the characters before it alone, so a word takes over those of what it has in
+        common with the beginning of the word before it.
+        """
         word = START + word
-        n, width, table = len(word), self.width, self.table
-        ahead: list[list[float] | None] = [[1.0] * width] + [None] * n
-        scale = [0.0] * width
-        for j in range(1, n + 1):
-            total = [a * b for a, b in zip(ahead[j - 1], table.get(word[j - 1], self.unknown))]  # noqa: B905
-            for i in range(max(0, j - self.longest), j - 1):
-                p = table.get(word[i:j])
+        n, width, table, longest = len(word), self.width, self.table, self.longest
+        same, most = 0, min(n, len(self.last))
+        while same < most and word[same] == self.last[same]:
+            same += 1
+        ahead: list[list[float] | None] = self.sums[: same + 1] + [None] * (n - same)
+        scale, scaled = [0.0] * width, False
+        for j in range(same + 1, n + 1):
+            total = [a * b for a, b in zip(ahead[j - 1], table.get(word[j - 1]) or self.unknown)]  # noqa: B905
+            ending = []
+            for i in range(j - 2, max(0, j - longest) - 1, -1):
+                p = table.get(word[i:j], False)
+                if p is False:
+                    break
                 if p is not None:
-                    total = [t + a * b for t, a, b in zip(total, ahead[i], p)]  # noqa: B905
+                    ending.append((ahead[i], p))
+            for before, p in reversed(ending):
+                total = [t + a * b for t, a, b in zip(total, before, p)]  # noqa: B905
             ahead[j] = total
             for k in range(width) if min(total) < 1e-120 else ():
                 if total[k] < 1e-120:
-                    for i in range(max(0, j - self.longest), j + 1):
+                    if not scaled:
+                        # Sums taken over belong to the word before as well.
+                        ahead, scaled = [a and list(a) for a in ahead], True
+                        total = ahead[j]
+                    for i in range(max(0, j - longest), j + 1):
                         ahead[i][k] *= 1e100
                     scale[k] -= 100 * math.log(10)
+        self.last, self.sums = ("", [[1.0] * width]) if scaled else (word, ahead)
         return [math.log(max(a, 1e-300)) + s for a, s in zip(ahead[n], scale, strict=True)]
 
-    def text(self, text: str) -> np.ndarray:
-        words = text.lower().split()
+    def learn(self, words: set[str]) -> None:
+        """Score the words that are not kept yet, in alphabetical order; more than fit are left for later."""
+        fresh = {w for w in words if w not in self.places}
+        if len(self.places) + len(fresh) > self.limit:
+            if len(words) > self.limit:
+                return
+            self.places, fresh = {}, words
+        for bare, w in sorted((w.strip(MARKS), w) for w in fresh):
+            at_row = len(self.places)
+            self.scores[at_row] = (self.scores[self.places[bare]] if bare in self.places else self.word(bare)) if bare else 0.0
+            self.places[w] = at_row
+
+    def total(self, words: list[str]) -> np.ndarray:
         total = np.zeros(self.width)
         for at in range(0, len(words), self.limit):
             part = words[at : at + self.limit]
-            fresh = {w for w in part if w not in self.places}
-            if len(self.places) + len(fresh) > self.limit:
-                self.places, fresh = {}, set(part)
-            for w in sorted(fresh):
-                bare = w.strip(MARKS)
-                at_row = len(self.places)
-                self.scores[at_row] = (self.scores[self.places[bare]] if bare in self.places else self.word(bare)) if bare else 0.0
-                self.places[w] = at_row
-            total += self.scores[[self.places[w] for w in part]].sum(axis=0)
+            try:
+                rows = [self.places[w] for w in part]
+            except KeyError:
+                self.learn(set(part))
+                rows = [self.places[w] for w in part]
+            total += self.scores[rows].sum(axis=0)
         return total
 
+    def text(self, text: str) -> np.ndarray:
+        return self.total(text.lower().split())
+
+    def texts(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
+        """Log likelihoods text by text; the words of about a million characters are scored together."""
+        split: list[list[str]] = []
+        chars = 0
+        for text in texts:
+            split.append(text.lower().split())
+            chars += len(text)
+            if chars >= AT_ONCE:
+                self.learn({w for words in split for w in words})
+                yield from map(self.total, split)
+                split, chars = [], 0
+        self.learn({w for words in split for w in words})
+        yield from map(self.total, split)
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """True if crc32 of the id as text leaves 1 when divided by 3; a null id counts as an empty text."""
@@ -218,12 +268,15 @@ def languages(docs: DataFrame, model: LanguageModel = LanguageModel()) -> DataFr
         scorer = once(name, lambda: Scorer(*shared.value, model)) if langs else None
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(1).to_pylist():
-                if scorer is None or not text or not _LETTER.search(text):
+            texts = batch.column(1).to_pylist()
+            readable = [scorer is not None and bool(text) and _LETTER.search(text) is not None for text in texts]
+            totals = scorer.texts(text for text, ok in zip(texts, readable, strict=True) if ok) if scorer else iter(())
+            for ok in readable:
+                if not ok:
                     names.append(model.undetermined)
                     scores.append(0.0)
                     continue
-                total = scorer.text(text) + prior
+                total = next(totals) + prior
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum()))

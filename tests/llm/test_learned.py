@@ -78,6 +78,31 @@ def test_forward_sums_every_segmentation():
     assert all(-1e6 < x < -1000 for x in scorer.word("q" * 4000))
 
 
+def test_words_with_a_common_beginning_share_its_sums():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return dict.get(self, *key)
+
+    words = ["internationalisation" + end for end in ("", "s", "x", "xy")] + ["q" * 4000, "q" * 4001, "internal"]
+    scorer = li.Scorer({"▁": [0.1, 0.2], "er": [0.2, 0.1]}, [1e-4, 2e-4], li.LanguageModel())
+    alone = []
+    for word in words:
+        scorer.word("")
+        alone.append(scorer.word(word))
+    scorer.word("")
+    scorer.table = Counted(scorer.table)
+    scorer.word(words[0])
+    first, Counted.asked = Counted.asked, 0
+    together = [scorer.word(word) for word in words[1:4]]
+    assert Counted.asked < first
+    assert [alone[0], *together, *map(scorer.word, words[4:])] == alone
+    text = " ".join(words[:4] * 3)
+    assert [t.tolist() for t in scorer.texts(iter([text, "", text.upper()]))] == [scorer.text(t).tolist() for t in (text, "", text)]
+
+
 def test_expected_pieces_agree_with_enumeration():
     known = frozenset(["a", "b", "ab", "ba"])
     prob = {"a": 0.3, "b": 0.2, "ab": 0.4, "ba": 0.1}
