@@ -31,6 +31,34 @@ def test_language_profiles(spark):
     assert {r.id: r.detected for r in found.collect()} == {7: "en", 8: "fr"}
 
 
+def test_grams_are_counted_and_scored_without_a_row_for_each(spark, monkeypatch):
+    df = spark.createDataFrame([*TEXTS, (6, "zh", "\U00020000ab"), (7, "en", None), (8, None, "x")], "id long, lang string, text string")
+    assert {r.gram for r in language.profile_counts(df).filter("lang = 'zh'").collect()} == {" \U00020000a", "\U00020000ab", "ab "}
+    profiles = language.train_profiles(df)
+    fresh = [(7, None, "the house and the other dog"), (8, None, "la rue"), (8, None, "et une maison"), (9, None, "123"), (10, None, None),
+             (None, None, "\U00020000ab")]
+    texts = spark.createDataFrame(fresh, df.schema)
+    found = language.detect_language(texts, profiles, "id")
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    expected = {7: "en", 8: "fr", None: "zh"}
+    assert sorted(found.collect(), key=str) == sorted([*expected.items()], key=str)
+    # A profile larger than what a task holds gives the same through the join.
+    monkeypatch.setattr(language, "HELD", 60)
+    found = language.detect_language(texts, profiles, "id")
+    assert "Generate" in found._jdf.queryExecution().toString() and {r.id: r.detected for r in found.collect()} == expected
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(language, "AT_ONCE", 5)
+    texts = {"a": " the dog in the house ", "b": "  ", "c": " x ", "d": " abcde fghij klmno pqrst "}
+    got = Counter()
+    for tags, pieces in language._blocks(texts.items()):
+        assert sum(map(len, pieces)) <= 5 + 2 + 4
+        numbers, owner = language._numbers(pieces)
+        got.update(zip((tags[i] for i in owner), language._letters(numbers), strict=True))
+    assert got == Counter((tag, text[i : i + 3]) for tag, text in texts.items() for i in range(len(text) - 2))
+
+
 def test_counts_of_cycles_add_up(spark):
     df = spark.createDataFrame(TEXTS, "id long, lang string, text string")
     parts = [language.profile_counts(df.filter(f"id % 2 = {n}")) for n in (0, 1)]
