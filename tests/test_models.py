@@ -82,3 +82,15 @@ def test_tfidf_vectors(spark):
     assert v[1] == v[2] != v[3]
     assert abs(sum(x * x for x in v[1]) - 1) < 1e-5
     assert not any(v[4])
+
+
+def test_document_frequencies_are_counted_in_tasks_of_bounded_size(spark):
+    from newsflow.operators import evidence
+
+    rows = [(n % 3 or None, [f"t{n % 7}", f"u{n}", "the"] if n % 5 else []) for n in range(60)]
+    documents = spark.createDataFrame(rows, "batch_id long, tokens array<string>").coalesce(1)
+    found = evidence.doc_freq(documents)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The documents are dealt before their tokens become rows, which a large file's only task would otherwise hold.
+    assert plan.index("Generate") < plan.index("RebalancePartitions")
+    assert {(r.batch_id, r.token): r.df for r in found.collect()} == Counter((key, t) for key, tokens in rows for t in tokens)
