@@ -92,3 +92,20 @@ def test_words_are_found_once_per_text(spark, tmp_path):
     assert got.dtypes == want.dtypes and sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() > 200
     assert sorted(v.words.select("batch_id", "tokens").collect(), key=str) == sorted(v.tokens.select("batch_id", "tokens").collect(), key=str)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+
+
+def test_reports_take_the_words_of_a_text_once(spark, tmp_path):
+    """The identity rules' pairs equal those made from the texts of both."""
+    texts = [None if n % 17 == 3 else "" if n % 23 == 4 else f"The word{'abcdefg'[n % 7]} isn't {'x' * (n % 90)} the End " + "Zz-yy " * (n % 30) for n in range(140)]
+    rows = [(n, t, "en", "src1") for n, t in enumerate(texts)] + [(None, "lost words", "en", "src1"), (60, texts[60], "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    v = Views(spark, str(tmp_path))
+    none = F.array().cast("array<string>")
+    compared = (F.col("unread") | (F.size("entities") == 0)) & F.col("has_texts")
+    want = v._asked.join(evidence.doc_count(v.tokens), "batch_id").select(
+        "batch_id", "cluster_id", "event_id", "rank", "cosine", F.when(F.col("unread"), none).otherwise(F.col("entities")).alias("new_tokens"),
+        F.when(compared, word_tokens(F.col("text"))).otherwise(none).alias("tokens_a"),
+        F.when(compared, word_tokens(F.col("representative_text"))).otherwise(none).alias("tokens_b"), "has_texts", "n_docs")
+    assert v.reports.dtypes == want.dtypes and sorted(v.reports.collect(), key=str) == sorted(want.collect(), key=str)
+    assert sorted(v.core.collect(), key=str) == sorted(v.hub_tokens.collect(), key=str)
+    assert "words" in v.__dict__  # found once, for the pairs and the core
